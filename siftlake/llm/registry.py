@@ -1,11 +1,15 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup
+from . import exact_dedup, host_reputation, mixing
 
 QUERIES = {
+    "op3_mixing": mixing.query,
+    "op6_host_reputation": host_reputation.query,
     "op7_exact_dedup": exact_dedup.query,
 }
 
 ORACLE = {
+    "op3_mixing": mixing.SQL,
+    "op6_host_reputation": host_reputation.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
