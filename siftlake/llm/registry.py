@@ -1,15 +1,20 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, host_reputation, mixing
+from . import exact_dedup, host_reputation, minhash_dedup, mixing, packing, toxicity, warc
 
 QUERIES = {
+    "op1_packing": packing.query,
     "op3_mixing": mixing.query,
+    "op5_warc": warc.query,
     "op6_host_reputation": host_reputation.query,
     "op7_exact_dedup": exact_dedup.query,
+    "op8_minhash_dedup": minhash_dedup.query,
+    "op9_toxicity": toxicity.query,
 }
 
 ORACLE = {
     "op3_mixing": mixing.SQL,
+    "op5_warc": warc.SQL,
     "op6_host_reputation": host_reputation.SQL,
     "op7_exact_dedup": exact_dedup.SQL,
 }
