@@ -1,9 +1,10 @@
 """The queries of this subpackage, by name, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, host_reputation, minhash_dedup, mixing, packing, toxicity, warc
+from . import exact_dedup, host_reputation, minhash_dedup, mixing, packing, substring_dedup, toxicity, warc
 
 QUERIES = {
     "op1_packing": packing.query,
+    "op10_substring_dedup": substring_dedup.query,
     "op3_mixing": mixing.query,
     "op5_warc": warc.query,
     "op6_host_reputation": host_reputation.query,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op10_substring_dedup": substring_dedup.SQL,
     "op3_mixing": mixing.SQL,
     "op5_warc": warc.SQL,
     "op6_host_reputation": host_reputation.SQL,

@@ -262,7 +262,7 @@ WITH p AS (SELECT page_id, coalesce(html, '') AS html, encode(coalesce(html, '')
 h AS (SELECT page_id, octet_length(payload)::BIGINT AS payload_bytes, sha1(html) AS sha, max(page_id) OVER (PARTITION BY html) AS top FROM p),
 b AS (
   SELECT *, array_to_string(list_transform(range(4), lambda k: array_to_string(list_transform(range(8), lambda j:
-    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (('0x' || substr(sha, 10 * k + 1, 10))::BIGINT >> (35 - 5 * j))::INT % 32, 1)), '')), '') AS payload_digest FROM h)
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(sha, 10 * k + 1, 10))::BIGINT >> (35 - 5 * j)) % 32)::INT, 1)), '')), '') AS payload_digest FROM h)
 SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN top IS NULL OR page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
        CASE WHEN top IS NULL OR page_id = top THEN NULL ELSE top END AS refers_to
