@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from . import bloom
 from .common import SPACE, documents, settle, texts
@@ -67,6 +69,34 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     )
 
 
+def distinct_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of equal texts the one with the smallest doc_id.
+
+    A null id is larger than any other; of rows that tie, one stays. Texts that the filter calls unique are not
+    shuffled; of the others each task sends at most one row per text.
+    """
+    spark = docs.sparkSession
+    keys = settle(digests(docs).select("h", F.lit(False).alias("twice")), "keys")
+    known = spark.sparkContext.broadcast(bloom.repeated(keys, keys.count()))
+    names = docs.columns
+    held = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_text"))
+
+    def part(want):
+        def run(batches):
+            for b in batches:
+                sha = [hashlib.sha256(normalise(t)).digest() for t in b.column(b.num_columns - 1).to_pylist()]
+                h = np.frombuffer(b"".join(sha), "<i8").reshape(-1, 4)[:, 0] if sha else np.zeros(0, np.int64)
+                maybe = known.value.maybe(np.ascontiguousarray(h))
+                out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sha, pa.binary())], [*b.schema.names[:-1], "_sha"])
+                yield out.filter(pa.array(maybe == want))
+
+        return held.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sha", T.BinaryType())]))
+
+    first = F.row_number().over(Window.partitionBy("_sha").orderBy(F.col("doc_id").asc_nulls_last()))
+    one = part(True).withColumn("_n", first).where("_n = 1").select(*names)
+    return part(False).select(*names).unionAll(one)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 

@@ -205,5 +205,11 @@ def near_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> D
     return joined.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
+def first_rows(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each component the document with the smallest id."""
+    gone = near_groups(docs).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(documents(spark, sf_dir))

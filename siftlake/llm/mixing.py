@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, documents, settle
+from .common import SPACE, WORD, documents, settle
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -135,6 +135,36 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), weights=W
     return held.join(about, "_uid").select(*keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
+def first_words(text: bytes, n: int) -> bytes:
+    """The text up to the end of its n-th word."""
+    if n <= 0:
+        return b""
+    parts = text.split(None, n)
+    return (text[: len(text) - len(parts[n])] if len(parts) > n else text).rstrip(SPACE)
+
+
+def mixed_rows(docs: DataFrame) -> DataFrame:
+    """The rows of which the mix takes words, with the columns of ``docs``: the text holds the words taken, n_chars their length.
+
+    A text taken whole stays as it is; whole repeats and the last, cut one follow on a new line.
+    """
+    rows = mix(docs, keep=tuple(docs.columns)).where("taken > 0")
+    rows = rows.select(*docs.columns, F.col("text").cast("string").cast("binary").alias("_text"), F.expr("taken div size").alias("_whole"), F.expr("taken % size").alias("_rest"))
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for b in batches:
+            out = []
+            for text, whole, rest in zip(*(b.column(b.num_columns - k).to_pylist() for k in (3, 2, 1))):
+                out.append(b"\n".join([text] * whole + ([first_words(text, rest)] if rest else [])))
+            columns = list(b.columns[:-3])
+            columns[at] = pa.array(out, pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-3])
+
+    out = rows.mapInArrow(run, docs.schema)
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 

@@ -175,6 +175,20 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> Data
     return texts(docs).mapInArrow(run, "doc_id long, score double, predicted int")
 
 
+def clean_rows(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs`` whose score stays under the threshold, with all their columns."""
+    known = docs.sparkSession.sparkContext.broadcast(model)
+    held = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_text"))
+
+    def run(batches):
+        cache: dict = {}
+        for b in batches:
+            keep = known.value.score(b.column(b.num_columns - 1).to_pylist(), cache) < threshold
+            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(keep))
+
+    return held.mapInArrow(run, docs.schema)
+
+
 def train_labels(labels: DataFrame) -> DataFrame:
     """The rows of ``labels`` that may be learnt from, as doc_id and label."""
     return labels.where(fold("doc_id", 4) != 2).select("doc_id", F.col("toxic").alias("label"))
