@@ -383,12 +383,12 @@ def j1(spark, d):
 
 
 @query("j3_j4_p6_mart", f"""{C}, r AS (SELECT upload_id, tenant_id, cluster_id AS label, count(*) AS n, coalesce(count_if(is_actionable), 0) AS actionable_count, avg(is_actionable::INT) AS avg_actionability FROM reviews WHERE (upload_id, tenant_id, cluster_id) IN (SELECT (upload_id, tenant_id, label) FROM clusters) GROUP BY ALL)
-SELECT cluster_id, severity, review_count, actionable_count, round(least(review_count / 100.0, 1.0) * 0.25 + CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 ELSE 0.25 END * 0.35
-  + coalesce(avg_actionability, 0) * 0.25 + (5 - coalesce(avg_rating, 3)) / 5 * 0.15, 9) AS priority_score FROM clusters LEFT JOIN r USING (upload_id, tenant_id, label)""")
+SELECT cluster_id, severity, review_count, actionable_count, round(least(review_count / 100.0, 1.0) * 0.25::DOUBLE + CASE severity WHEN 'critical' THEN 1.0 WHEN 'high' THEN 0.75 WHEN 'medium' THEN 0.5 ELSE 0.25 END * 0.35::DOUBLE
+  + coalesce(avg_actionability, 0) * 0.25::DOUBLE + (5 - coalesce(avg_rating, 3)) / 5 * 0.15::DOUBLE, 4) AS priority_score FROM clusters LEFT JOIN r USING (upload_id, tenant_id, label)""")
 def j3(spark, d):
     from .marts import issue_summary
 
-    out = issue_summary(clusters(spark, d), reviews(spark, d).withColumnRenamed("cluster_id", "label"), ["upload_id", "tenant_id", "label"], digits=9)
+    out = issue_summary(clusters(spark, d), reviews(spark, d).withColumnRenamed("cluster_id", "label"), ["upload_id", "tenant_id", "label"])
     return out.select("cluster_id", "severity", "review_count", "actionable_count", "priority_score")
 
 
