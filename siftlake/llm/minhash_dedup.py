@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import shingles
+from . import bloom, shingles
 from .common import documents, settle, texts
 
 WORDS = 4
@@ -27,7 +27,7 @@ BANDS, ROWS = 32, 4
 HASHES = BANDS * ROWS
 BITS = 4
 #: Pairs estimated below this similarity are dropped; at 0.8 an estimate has a standard deviation of 0.04.
-LEAST_ESTIMATE = 0.55
+LEAST_ESTIMATE = 0.6
 #: A bucket of more members than this is compared in blocks.
 BLOCK = 1024
 
@@ -88,38 +88,81 @@ def sketch(docs: DataFrame, size: int = WORDS) -> DataFrame:
     return texts(docs).mapInArrow(run, "doc_id long, n_shingles long, set_id binary, keys array<long>, sig binary")
 
 
-def likely(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
-    """The distinct pairs (a, b) whose estimate is not far too low."""
+def read_again(docs: DataFrame, reps: DataFrame) -> DataFrame:
+    """doc_id, text of the documents named by ``reps`` (rep), written once. A Bloom filter of their ids comes first, so
+    that the other texts are not shuffled."""
+    ids = reps.select(F.xxhash64("rep").alias("h"), F.lit(True).alias("twice"))
+    known = docs.sparkSession.sparkContext.broadcast(bloom.repeated(ids, reps.count()))
 
     def run(batches):
         for b in batches:
-            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, BITS * HASHES // 8) for i in (2, 3))
-            yield b.filter(pa.array(estimate(x, y) >= LEAST_ESTIMATE)).select([0, 1])
+            yield b.filter(pa.array(known.value.maybe(b.column(2).to_numpy(zero_copy_only=False)))).select([0, 1])
 
-    both = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b")), "b")
-    return both.select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    some = texts(docs).where("doc_id IS NOT NULL").withColumn("h", F.xxhash64("doc_id")).mapInArrow(run, "doc_id long, text binary")
+    return settle(some.join(reps.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi"), "near-texts")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """The pairs that are links, by their full sets. Texts are read for the documents of some pair only."""
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select("b")).distinct()
-    held = settle(texts(docs).join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]), "near-texts")
+def alone(held: DataFrame, size: int) -> DataFrame:
+    """rep, n, u, shingles of the texts ``held``: the shingle set, its size, and how many of it no other text has.
+
+    A Bloom filter tells which shingles may be in several texts, so u may be too small, never too large. No link can
+    have more shingles in common than either side's n - u.
+    """
+
+    def keys(batches):
+        for b in batches:
+            out = [shingles.shingle_set(t, size) for t in b.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64))], ["h"])
+
+    all_ = held.select("text").mapInArrow(keys, "h long").withColumn("twice", F.lit(False))
+    many = held.agg(F.sum(F.length("text"))).first()[0] or 0
+    known = held.sparkSession.sparkContext.broadcast(bloom.repeated(all_, many // 6))
+
+    def count(batches):
+        for b in batches:
+            out = [shingles.shingle_set(t, size) for t in b.column(1).to_pylist()]
+            n = np.array([len(x) for x in out], np.int64)
+            maybe = known.value.maybe((np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64))
+            met = np.bincount(np.repeat(np.arange(len(n)), n), maybe, len(n)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(n - met), pa.array([x.tobytes() for x in out], pa.binary())], ["rep", "n", "u", "shingles"])
+
+    return held.select("doc_id", "text").mapInArrow(count, "rep long, n long, u long, shingles binary")
+
+
+def can_link(n, u, n2, u2, percent: int = PERCENT):
+    """May sets of sizes n and n2, of which u and u2 are shared with no other set, be similar enough?"""
+    common = np.minimum(n - u, n2 - u2)
+    return 100 * common >= percent * (n + n2 - common)
+
+
+def likely(pairs: DataFrame, about: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that sizes and signatures (``about``: rep, sig, n, u) do not rule out."""
+
+    def run(batches):
+        for b in batches:
+            x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(b.num_rows, BITS * HASHES // 8) for i in (2, 5))
+            n, u, n2, u2 = (b.column(i).to_numpy(zero_copy_only=False) for i in (3, 4, 6, 7))
+            yield b.filter(pa.array((estimate(x, y) >= LEAST_ESTIMATE) & can_link(n, u, n2, u2, percent))).select([0, 1])
+
+    one, two = (about.select(F.col("rep").alias(k), *(F.col(c).alias(f"{c}_{k}") for c in ("sig", "n", "u"))) for k in ("a", "b"))
+    both = pairs.join(one, "a").join(two, "b")
+    return both.select("a", "b", "sig_a", "n_a", "u_a", "sig_b", "n_b", "u_b").mapInArrow(run, "a long, b long")
+
+
+def confirmed(pairs: DataFrame, about: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs that are links, by their full sets (``about``: rep, shingles)."""
 
     def run(batches):
-        last, s = None, None
         for b in batches:
             keep = []
-            for x, tx, ty in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
-                if x != last:
-                    last, s = x, shingles.shingle_set(tx, size)
-                t = shingles.shingle_set(ty, size)
-                common = len(np.intersect1d(s, t, assume_unique=True))
-                keep.append(100 * common >= percent * (len(s) + len(t) - common))
+            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
+                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                common = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield b.filter(pa.array(keep, pa.bool_())).select([0, 1])
 
-    both = pairs.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    both = both.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    one, two = (about.select(F.col("rep").alias(k), F.col("shingles").alias(f"set_{k}")) for k in ("a", "b"))
+    return pairs.join(two, "b").join(one, "a").select("a", "b", "set_a", "set_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame, name: str = "components") -> DataFrame:
@@ -142,31 +185,43 @@ def components(links: DataFrame, name: str = "components") -> DataFrame:
             return at
 
 
-def across(members: DataFrame) -> DataFrame:
-    """Pairs (a, b) of likely members of one bucket that lie in different components.
+def across(members: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between members of one bucket that lie in different components; enough of them to join these.
 
-    ``members``: key, rep, comp, sig, n (the bucket's size). Buckets above BLOCK are dealt out as pairs of blocks, so
-    that no task holds more than two blocks; every pair of members meets in one of them.
+    ``members``: key, rep, comp, sig, n, u, size (the bucket's) and shingles (sorted hashes). Pairs that sizes and
+    signatures do not rule out are compared on the full sets, unless links found before have joined them. Buckets above
+    BLOCK are dealt out as pairs of blocks, so that no task holds more than two blocks; every pair of members meets in
+    one of them.
     """
-    g = F.ceil(F.col("n") / BLOCK).cast("int")
+    g = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = members.withColumn("g", g).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("g")).cast("int"))
     dealt = mine.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("g") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "sig")
+    dealt = dealt.select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "rep", "comp", "sig", "n", "u", "shingles")
 
     def compare(table: pa.Table) -> pa.Table:
-        part, rep, comp = (table[c].to_numpy() for c in ("part", "rep", "comp"))
+        part, rep, comp, n, u = (table[c].to_numpy() for c in ("part", "rep", "comp", "n", "u"))
         i, j = table["i"][0].as_py(), table["j"][0].as_py()
         sig = np.frombuffer(b"".join(table["sig"].to_pylist()), np.uint8).reshape(len(rep), -1)
-        out: list[np.ndarray] = []
+        sets = [np.frombuffer(x, np.uint64) for x in table["shingles"].to_pylist()]
+        comp = comp.copy()
+        found: list[tuple[int, int]] = []
         left, right = (np.flatnonzero(part == i), np.flatnonzero(part == j))
-        if len(np.unique(comp)) > 1:
-            for x in left:
-                y = right[(comp[right] != comp[x]) & ((rep[right] > rep[x]) if i == j else True)]
-                if len(y):
-                    y = y[estimate(sig[x][None], sig[y]) >= LEAST_ESTIMATE]
-                    out.append(np.stack([np.full(len(y), rep[x]), rep[y]]))
-        pairs = np.concatenate(out, axis=1) if out else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pairs.min(axis=0), "b": pairs.max(axis=0)})
+        for x in left if len(np.unique(comp)) > 1 else ():
+            y = right[(comp[right] != comp[x]) & can_link(n[right], u[right], n[x], u[x], percent) & ((rep[right] > rep[x]) if i == j else True)]
+            if not len(y):
+                continue
+            y = y[estimate(sig[x][None], sig[y]) >= LEAST_ESTIMATE]
+            if not len(y):
+                continue
+            all_ = np.concatenate([sets[k] for k in y])
+            hit = sets[x][np.minimum(np.searchsorted(sets[x], all_), n[x] - 1)] == all_
+            common = np.bincount(np.repeat(np.arange(len(y)), n[y]), hit, len(y))
+            for k in y[100 * common >= percent * (n[x] + n[y] - common)].tolist():
+                if comp[k] != comp[x]:
+                    found.append((min(rep[x], rep[k]), max(rep[x], rep[k])))
+                    comp[comp == comp[k]] = comp[x]
+        held = list(zip(*found)) or [()] * 2
+        return pa.table({"a": pa.array(held[0], pa.int64()), "b": pa.array(held[1], pa.int64())})
 
     return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a long, b long").distinct()
 
@@ -185,20 +240,26 @@ def near_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> D
     first = F.col("doc_id") == F.col("rep")
     classes = settle(real.join(reps, "set_id").where(first).select("set_id", "rep", "keys", "sig").dropDuplicates(["set_id"]), "classes")
     member = classes.select("rep", F.explode("keys").alias("key"))
-    ends = member.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("lo"), F.max(F.struct(F.xxhash64("rep").alias("h"), "rep")).alias("hi")).where("n > 1")
-    shared = settle(member.join(ends.select("key", "n", F.col("lo.rep").alias("lo"), F.col("hi.rep").alias("hi")), "key"), "buckets")
-    star = shared.select("rep", F.explode(F.array("lo", "hi")).alias("to")).where("rep != to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
-    sigs = classes.select("rep", "sig")
-    tried = settle(likely(star, sigs), "star")
-    links = settle(confirmed(tried, docs, size, percent), "links")
+    shared = settle(member.join(member.groupBy("key").count().where("count > 1"), "key", "left_semi"), "buckets")
+    held = read_again(docs, settle(shared.select("rep").distinct(), "candidates"))
+    about = alone(held, size).where(100 * (F.col("n") - F.col("u")) >= percent * F.col("n"))
+    about = settle(about.join(classes.select("rep", "sig"), "rep"), "about")
+
+    # a member with few shingles of its own is the likeliest to be near the others
+    first, second = F.struct(F.col("u") / F.col("n"), "rep"), F.struct(F.xxhash64("rep").alias("h"), "rep")
+    able = settle(shared.join(about.select("rep", "n", "u"), "rep"), "able")
+    ends = able.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min(first).alias("lo"), F.min(second).alias("hi")).where("size > 1")
+    able = able.join(ends.select("key", "size", F.col("lo.rep").alias("lo"), F.col("hi.rep").alias("hi")), "key")
+    star = able.select("rep", F.explode(F.array("lo", "hi")).alias("to")).where("rep != to").select(F.least("rep", "to").alias("a"), F.greatest("rep", "to").alias("b")).distinct()
+    tried = settle(likely(star, about, percent), "star")
+    links = settle(confirmed(tried, about, percent), "links")
     at = components(links)
 
-    placed = shared.select("key", "rep", "n").join(at.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    placed = able.select("key", "rep", "size").join(at.withColumnRenamed("node", "rep"), "rep", "left").select("key", "rep", "size", F.coalesce("comp", "rep").alias("comp"))
     split = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select("key")
-    open_ = placed.join(split, "key", "left_semi").join(sigs, "rep")
-    more = settle(across(open_).join(tried, ["a", "b"], "left_anti"), "across")
+    more = settle(across(placed.join(split, "key", "left_semi").join(about, "rep"), percent), "across")
     if not more.isEmpty():
-        at = components(links.unionAll(confirmed(more, docs, size, percent)), "components2")
+        at = components(links.unionAll(more), "components2")
     whole = classes.select("set_id", "rep").join(at.withColumnRenamed("node", "rep"), "rep", "left").select("set_id", F.coalesce("comp", "rep").alias("root"))
     joined = rows.select("doc_id", "n_shingles", "set_id").join(whole, "set_id", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
