@@ -1,8 +1,9 @@
 """Mixing sources to target weights: a low-discrepancy schedule of equal-token blocks.
 
-Slots 0..N-1 are mapped to golden-ratio points on a grid of N: slot t stands at (t * g mod N + 1/2) / N, with g coprime
-to N and nearest to N / phi. Every grid point is met once, so that cumulative weights give each source exactly its
-number of slots, and any run of slots holds the sources nearly in proportion. A slot's rank within its source names a
+N slots take golden-ratio points on a grid: with F the smallest Fibonacci number from N on and G the one before it, time
+t = 0, 1, ... stands at grid point t * G mod F, and points from N on are left out. Each of the N others is met once, so
+that cumulative weights give each source exactly its number of slots, and any run of slots holds the sources nearly in
+proportion. A slot's rank within its source names a
 block of that source's shuffled token stream; ranks beyond the last block start over.
 """
 
@@ -25,7 +26,6 @@ MOST = 2
 BLOCK = 1024
 CHUNK = 16384
 BUCKET_ROWS = 4096
-PHI = (1 + 5**0.5) / 2
 
 
 def fill(sizes: list[int], weights: list[int], total: Fraction, most: int = MOST) -> list[Fraction]:
@@ -43,60 +43,62 @@ def fill(sizes: list[int], weights: list[int], total: Fraction, most: int = MOST
     return share
 
 
-def step(n: int) -> int:
-    """The number coprime to ``n`` that is nearest to n / phi."""
-    g = round(n / PHI)
-    for d in range(n + 1):
-        for x in (g + d, g - d):
-            if 1 <= x <= n and math.gcd(x, n) == 1:
-                return x
-    return 1
+def fibonacci(n: int) -> tuple[int, int]:
+    """The smallest Fibonacci number from ``n`` on, and the one before it."""
+    a, b = 1, 1
+    while b < n:
+        a, b = b, a + b
+    return b, a
 
 
 def points(start: int, count: int, n: int, g: int) -> np.ndarray:
-    """Grid points of the slots start .. start + count - 1 of n."""
+    """Grid points (of n) at the times start .. start + count - 1."""
     return ((start * g) % n + (np.arange(count, dtype=np.int64) * g) % n) % n
 
 
 def schedule(spark: SparkSession, slots: list[int]) -> DataFrame:
-    """slot, source_no, rank: a row per slot; source i gets slots[i] of them, ranked from 0 in the order of slots.
+    """slot, source_no, rank: a row per slot, in the order of slot; source i gets slots[i] of them, ranked from 0.
 
     Ranks come from counts per chunk of slots and source, summed over the chunks before, so that no task sees all
     slots of a source.
     """
     n = sum(slots)
-    ends, g = np.cumsum(slots), step(n) if n else 1
-    chunks = spark.range(0, -(-n // CHUNK), 1, max(1, min(-(-n // CHUNK), 10_000))).withColumnRenamed("id", "chunk")
+    ends = np.cumsum(slots)
+    grid, g = fibonacci(n)
+    grid = grid if n else 0
+    chunks = spark.range(0, -(-grid // CHUNK), 1, max(1, min(-(-grid // CHUNK), 10_000))).withColumnRenamed("id", "chunk")
 
-    def sources(chunk: int) -> np.ndarray:
-        return np.searchsorted(ends, points(chunk * CHUNK, min(CHUNK, n - chunk * CHUNK), n, g), side="right").astype(np.int32)
+    def sources(chunk: int) -> tuple[np.ndarray, np.ndarray]:
+        at = points(chunk * CHUNK, min(CHUNK, grid - chunk * CHUNK), grid, g)
+        kept = np.flatnonzero(at < n)
+        return chunk * CHUNK + kept, np.searchsorted(ends, at[kept], side="right").astype(np.int32)
 
     def count(batches):
         for b in batches:
             for chunk in b.column(0).to_pylist():
-                no, many = np.unique(sources(chunk), return_counts=True)
+                no, many = np.unique(sources(chunk)[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(no), chunk)), pa.array(no), pa.array(many)], ["chunk", "source_no", "n"])
 
     def rank(batches):
         for b in batches:
             for chunk, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                no = sources(chunk)
+                slot, no = sources(chunk)
                 base = {x["source_no"]: x["before"] for x in before}
                 order = np.argsort(no, kind="stable")
                 held, first, many = np.unique(no[order], return_index=True, return_counts=True)
                 ranks = np.empty(len(no), np.int64)
                 ranks[order] = np.arange(len(no)) - np.repeat(first, many) + np.repeat([base[x] for x in held.tolist()], many)
-                yield pa.RecordBatch.from_arrays([pa.array(chunk * CHUNK + np.arange(len(no))), pa.array(no), pa.array(ranks)], ["slot", "source_no", "rank"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(no), pa.array(ranks)], ["slot", "source_no", "rank"])
 
     before = F.coalesce(F.sum("n").over(Window.partitionBy("source_no").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
     counted = chunks.mapInArrow(count, "chunk long, source_no int, n long").withColumn("before", before)
     return counted.groupBy("chunk").agg(F.collect_list(F.struct("source_no", "before")).alias("before")).mapInArrow(rank, "slot long, source_no int, rank long")
 
 
-def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), weights=WEIGHTS, share: Fraction = SHARE, block: int = BLOCK) -> DataFrame:
-    """Every row of ``docs`` with size, source_size, target (its source's) and taken, the words that the mix takes of it.
+def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: Fraction = SHARE, block: int = BLOCK) -> DataFrame:
+    """doc_id, source, size, source_size, target (its source's) and taken, the words that the mix takes, of every row of ``docs``.
 
-    Columns used: doc_id, text, source; the result has those of ``keep`` first. A source's documents are put in the order of a hash of their
+    Columns used: doc_id, text, source; those of ``keep`` come along in a struct named row. A source's documents are put in the order of a hash of their
     ids, their words form one stream, and the stream is cut into blocks of ``block`` words. The schedule's slots join
     these blocks; a source's last slot is cut so that its words reach the rounded target. As a target is at most twice
     the source's size, a block is taken at most twice.
@@ -105,8 +107,9 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), weights=W
     documents of their own. The driver holds one row per source, never one per document.
     """
     spark = docs.sparkSession
-    need = dict.fromkeys((*keep, "doc_id", "source"))
-    held = settle(docs.select(*need, F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.monotonically_increasing_id().alias("_uid")), "mix")
+    size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    row = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
+    held = settle(docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.monotonically_increasing_id().alias("_uid"), *row), "mix")
     per = sorted(((r["source"], r["size"] or 0, r["n"]) for r in held.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes, total = [r[1] for r in per], sum(r[1] for r in per)
     target = fill(sizes, [weights[i % len(weights)] for i in range(len(per))], share * total)
@@ -132,7 +135,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = ("doc_id", "source"), weights=W
     left = f"least(block * {block} + {block}, start + size, _words - pass * source_size) - greatest(block * {block}, start)"
     got = pieces.join(taken, ["source_no", "block"]).groupBy("_uid").agg(F.sum(F.expr(f"greatest(0L, {left})")).alias("taken"))
     about = rows.select("_uid", "source_size", "target").join(got, "_uid", "left")
-    return held.join(about, "_uid").select(*keep, "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return held.join(about, "_uid").select("doc_id", "source", *(["row"] if keep else []), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
 def first_words(text: bytes, n: int) -> bytes:
@@ -149,7 +152,7 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     A text taken whole stays as it is; whole repeats and the last, cut one follow on a new line.
     """
     rows = mix(docs, keep=tuple(docs.columns)).where("taken > 0")
-    rows = rows.select(*docs.columns, F.col("text").cast("string").cast("binary").alias("_text"), F.expr("taken div size").alias("_whole"), F.expr("taken % size").alias("_rest"))
+    rows = rows.select("row.*", F.col("row.text").cast("string").cast("binary").alias("_text"), F.expr("taken div size").alias("_whole"), F.expr("taken % size").alias("_rest"))
     at = docs.columns.index("text")
 
     def run(batches):
