@@ -75,8 +75,12 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def batch(arrays: list, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(arrays, names)
+def slices(batches, rows: int = 512):
+    """The batches cut into small ones, so that a worker holds what it makes of few texts at a time."""
+    for b in batches:
+        for at in range(0, b.num_rows, rows):
+            yield b.slice(at, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom, shingles
-from .common import documents, settle, words
+from .common import documents, settle, slices, words
 
 SPAN = 50
 GRAM = 8
@@ -58,7 +58,7 @@ def anchor_keys(docs: DataFrame, span: int, gram: int) -> DataFrame:
     """The distinct anchors of each document."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
             for text in b.column(0).to_pylist():
                 g = shingles.runs(shingles.word_hashes(text, False)[0], gram)
@@ -72,7 +72,7 @@ def occurrences(docs: DataFrame, known, span: int, gram: int) -> DataFrame:
     """anchor, doc_id, th, at (the anchor's first word), left (words before it in ``words``), words: for repeated anchors."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             found, marks = [], []
             for text in b.column(2).to_pylist():
                 h, first, end = shingles.word_hashes(text, False)
@@ -242,7 +242,7 @@ def remove(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GRO
     joined = _source(docs).join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_t")), "left").select("doc_id", "text", "spans")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows = []
             for doc, text, gone in zip(*(c.to_pylist() for c in b.columns)):
                 w = words(text)

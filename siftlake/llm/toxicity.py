@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, lower_words, texts
+from .common import documents, fold, lower_words, settle, texts
 
 #: At most so many labelled rows train the model: those whose hashed ids are smallest.
 MAX_TRAIN = 20_000
-#: At most so many terms stay, and only those with this likelihood ratio and this many documents.
+#: At most so many terms stay, of those in so many documents; their likelihood ratio must be above 2 ln(n) for n such
+#: terms, which about one term without any connection with the label would reach.
 MAX_TERMS = 4096
-MIN_RATIO = 15.0
 MIN_DOCS = 5
 BUCKETS = 1 << 30
 FACTORS = 4
@@ -129,20 +129,20 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
         yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["t", "n0", "n1"])
 
     counts = picked.mapInArrow(count, "t long, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"t < 0 OR n0 + n1 >= {MIN_DOCS}")
-    # a term at the likelihood ratio asked for has at least a share of label 1 or 0 that differs from the mean: all such
-    # terms are few; the rest stays on the executors
+    counts = settle(counts, "terms")
     total = counts.where("t < 0").first()
     t1, all_ = (float(total["n1"]), float(total["n0"] + total["n1"])) if total else (0.0, 0.0)
     if not 0 < t1 < all_:
         model = Machine(np.zeros(0, np.int64))
         model.w0 = 30.0 if t1 else -30.0
         return model
+    least = 2 * np.log(max(2, counts.count()))
 
     def screen(batches):
         for b in batches:
             t, n0, n1 = (b.column(i).to_numpy(zero_copy_only=False).astype(float) for i in range(3))
             g = _ratio(n1, n0 + n1, t1, all_)
-            ok = (g >= MIN_RATIO) & (t >= 0)
+            ok = (g >= least) & (t >= 0)
             yield pa.RecordBatch.from_arrays([pa.array(t[ok].astype(np.int64)), pa.array(g[ok])], ["t", "g"])
 
     top = counts.mapInArrow(screen, "t long, g double").orderBy(F.desc("g"), "t").limit(MAX_TERMS).collect()
