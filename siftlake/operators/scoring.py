@@ -78,6 +78,14 @@ def rule_score(text: Column, rating: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(10), tenths)) / F.lit(10.0)
 
 
+def fallback_score(text: Column, rating: Column) -> Column:
+    """The rule score of the untrained model: nothing is taken off short texts, and shouting counts."""
+    low, r, n = F.lower(text), F.coalesce(F.nullif(rating.cast("double"), F.lit(0.0)), F.lit(3.0)), F.length(text)
+    loud = low.contains("!") | X.yes(F.regexp_count(text, F.lit(r"\p{Lu}")) > 0.3 * n)
+    tenths = F.when(r <= 2, 4).when(r <= 3, 2).otherwise(0) + F.when(X.has_any(low, lex.RULE_KEYWORDS), 3).otherwise(0) + F.when(n >= 25, 2).otherwise(0) + F.when(loud, 1).otherwise(0)
+    return tenths / F.lit(10.0)
+
+
 def hybrid_rule(f: DataFrame) -> tuple[Column, Column]:
     """(actionable, confidence) by the first rule that fits; ``f`` has the columns of ``features``."""
     c = F.col

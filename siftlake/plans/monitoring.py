@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import lexicons as lex
 from ..functions import text as X
 from ..operators import issues, monitoring, quality, scoring, similarity
 from ..sources import readers
 from ..sources.reviews import CLUSTERS_SQL, REVIEWS_SQL, RUNS_SQL, clusters, reviews, runs
-from .catalog import FEATURES_SQL, TOKENS, featured, query
+from .catalog import FEATURES_SQL, TOKENS, _any, featured, query
 
 R, C = f"WITH {REVIEWS_SQL}", f"WITH {CLUSTERS_SQL}"
 
@@ -346,3 +347,38 @@ def e10(spark, d):
 @query("ext_tumbling", "SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS n FROM events GROUP BY ALL")
 def ext(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type", F.date_trunc("day", "ts").cast("timestamp_ntz").alias("day")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("p17_fallback_score", f"""{R}
+SELECT review_id, (CASE WHEN rating <= 2 THEN 4 WHEN rating <= 3 THEN 2 ELSE 0 END + CASE WHEN {_any('lower(content)', lex.RULE_KEYWORDS)} THEN 3 ELSE 0 END + CASE WHEN len(content) >= 25 THEN 2 ELSE 0 END
+  + CASE WHEN contains(content, '!') OR len(regexp_extract_all(content, '\\p{{Lu}}')) > 0.3 * len(content) THEN 1 ELSE 0 END) / 10.0::DOUBLE AS score FROM reviews""")
+def p17(spark, d):
+    return reviews(spark, d).select("review_id", scoring.fallback_score(F.col("content"), F.col("rating")).cast("double").alias("score"))
+
+
+@query("p3_specificity", """WITH u AS (SELECT label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings) SELECT label, round(avg(v[1] - v[2]), 6) AS specificity FROM u GROUP BY label""")
+def p3(spark, d):
+    issue, generic = [1.0] + [0.0] * 63, [0.0, 1.0] + [0.0] * 62
+    return similarity.specificity(spark.read.parquet(f"{d}/embeddings.parquet"), "label", "embedding", issue, generic).withColumn("specificity", F.round("specificity", 6))
+
+
+@query("x26_common_phrases", f"""{R}, t AS (SELECT upload_id, {TOKENS} AS w FROM reviews), p AS (SELECT upload_id, unnest(list_transform(list_zip(w[1:len(w) - 1], w[2:len(w)]), lambda z: z[1] || ' ' || z[2])) AS phrase FROM t),
+n AS (SELECT upload_id, phrase, count(*) AS n FROM p GROUP BY ALL), s AS (SELECT upload_id, count(*) AS texts FROM reviews GROUP BY ALL)
+SELECT upload_id, phrase, n FROM (SELECT *, row_number() OVER (PARTITION BY upload_id ORDER BY n DESC, phrase) AS r FROM n JOIN s USING (upload_id) WHERE n >= greatest(2, texts // 3)) WHERE r <= 5""")
+def x26(spark, d):
+    return similarity.common_phrases(reviews(spark, d), "upload_id", "content")
+
+
+@query("x31_x10_m13_cleaning", f"""{C} SELECT cluster_id, regexp_replace(title, '^\\s*\\d+[.)]\\s*', '') AS unnumbered, least(5, greatest(1, label - 2)) AS clamped FROM clusters""")
+def x31(spark, d):
+    return clusters(spark, d).select("cluster_id", F.regexp_replace("title", r"^\s*\d+[.)]\s*", "").alias("unnumbered"), F.least(F.lit(5), F.greatest(F.lit(1), F.col("label") - 2)).alias("clamped"))
+
+
+@query("e2_e3_routing", "SELECT event_id, CASE WHEN event_id % 5 <> 0 THEN 'ok' WHEN event_id % 4 + 1 < 3 THEN 'retry' ELSE 'dead' END AS route FROM events")
+def e2(spark, d):
+    from ..streaming.events import routed
+
+    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", (F.col("event_id") % 4).cast("int").alias("retry_count"), F.lit(3).alias("max_retries"), F.lit(False).alias("dead_letter"))
+    good, again, dead = routed(e, F.col("event_id") % 5 != 0)
+    out = [df.select("event_id", F.lit(name).alias("route")) for name, df in (("ok", good), ("retry", again), ("dead", dead))]
+    return out[0].unionByName(out[1]).unionByName(out[2])
