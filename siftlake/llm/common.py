@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -75,12 +76,33 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
+#: What one operator keeps in a Python worker from task to task; the next operator's first task there drops it.
+KEPT: dict = {}
+
+
+def trim() -> None:
+    """Give freed memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def slices(batches, rows: int = 512):
     """The batches cut into small ones, so that a worker holds what it makes of few texts at a time."""
+    if KEPT:
+        KEPT.clear()
+        trim()
     for b in batches:
         for at in range(0, b.num_rows, rows):
             yield b.slice(at, rows)
-    pa.default_memory_pool().release_unused()
+    trim()
+
+
+def utf8(b, name: str = "text") -> list[bytes]:
+    """The texts of a batch as UTF-8 bytes; null is empty."""
+    return [t or b"" for t in b.column(b.schema.get_field_index(name)).cast(pa.binary()).to_pylist()]
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
