@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from . import bloom
-from .common import SPACE, documents, settle, texts
+from .common import SPACE, documents, settle, slices, texts, utf8
 
 
 def normalise(text: bytes) -> bytes:
@@ -29,7 +29,7 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, sha256 of the normalised text (32 bytes), and its first 8 bytes as h."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             sha = [hashlib.sha256(normalise(t)).digest() for t in b.column(1).to_pylist()]
             h = np.frombuffer(b"".join(sha), "<i8").reshape(-1, 4)[:, 0] if sha else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sha, pa.binary()), pa.array(np.ascontiguousarray(h))], ["doc_id", "sha", "h"])
@@ -79,18 +79,17 @@ def distinct_rows(docs: DataFrame) -> DataFrame:
     keys = settle(digests(docs).select("h", F.lit(False).alias("twice")), "keys")
     known = spark.sparkContext.broadcast(bloom.repeated(keys, keys.count()))
     names = docs.columns
-    held = docs.select(*names, F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_text"))
 
     def part(want):
         def run(batches):
-            for b in batches:
-                sha = [hashlib.sha256(normalise(t)).digest() for t in b.column(b.num_columns - 1).to_pylist()]
+            for b in slices(batches):
+                sha = [hashlib.sha256(normalise(t)).digest() for t in utf8(b)]
                 h = np.frombuffer(b"".join(sha), "<i8").reshape(-1, 4)[:, 0] if sha else np.zeros(0, np.int64)
                 maybe = known.value.maybe(np.ascontiguousarray(h))
-                out = pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(sha, pa.binary())], [*b.schema.names[:-1], "_sha"])
+                out = pa.RecordBatch.from_arrays([*b.columns, pa.array(sha, pa.binary())], [*b.schema.names, "_sha"])
                 yield out.filter(pa.array(maybe == want))
 
-        return held.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sha", T.BinaryType())]))
+        return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_sha", T.BinaryType())]))
 
     first = F.row_number().over(Window.partitionBy("_sha").orderBy(F.col("doc_id").asc_nulls_last()))
     one = part(True).withColumn("_n", first).where("_n = 1").select(*names)

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom, shingles
-from .common import documents, settle, texts
+from .common import documents, settle, slices, texts
 
 WORDS = 4
 #: Links have 100 * intersection >= PERCENT * union.
@@ -72,7 +72,7 @@ def sketch(docs: DataFrame, size: int = WORDS) -> DataFrame:
     """doc_id, n_shingles, set_id (null without shingles), keys (per band), sig."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             rows: list[tuple] = []
             for text in b.column(1).to_pylist():
                 s = shingles.shingle_set(text, size)
@@ -110,7 +110,7 @@ def alone(held: DataFrame, size: int) -> DataFrame:
     """
 
     def keys(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [shingles.shingle_set(t, size) for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array((np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64))], ["h"])
 
@@ -119,7 +119,7 @@ def alone(held: DataFrame, size: int) -> DataFrame:
     known = held.sparkSession.sparkContext.broadcast(bloom.repeated(all_, many // 6))
 
     def count(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [shingles.shingle_set(t, size) for t in b.column(1).to_pylist()]
             n = np.array([len(x) for x in out], np.int64)
             maybe = known.value.maybe((np.concatenate(out) if out else np.zeros(0, np.uint64)).view(np.int64))
@@ -153,7 +153,7 @@ def confirmed(pairs: DataFrame, about: DataFrame, percent: int = PERCENT) -> Dat
     """The pairs that are links, by their full sets (``about``: rep, shingles)."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             keep = []
             for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
                 x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)

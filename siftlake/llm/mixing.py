@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, WORD, documents, settle
+from .common import SPACE, WORD, documents, settle, slices, utf8
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -152,17 +152,17 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     A text taken whole stays as it is; whole repeats and the last, cut one follow on a new line.
     """
     rows = mix(docs, keep=tuple(docs.columns)).where("taken > 0")
-    rows = rows.select("row.*", F.col("row.text").cast("string").cast("binary").alias("_text"), F.expr("taken div size").alias("_whole"), F.expr("taken % size").alias("_rest"))
+    rows = rows.select("row.*", F.expr("taken div size").alias("_whole"), F.expr("taken % size").alias("_rest"))
     at = docs.columns.index("text")
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = []
-            for text, whole, rest in zip(*(b.column(b.num_columns - k).to_pylist() for k in (3, 2, 1))):
+            for text, whole, rest in zip(utf8(b), *(b.column(b.num_columns - k).to_pylist() for k in (2, 1))):
                 out.append(b"\n".join([text] * whole + ([first_words(text, rest)] if rest else [])))
-            columns = list(b.columns[:-3])
+            columns = list(b.columns[:-2])
             columns[at] = pa.array(out, pa.binary()).cast(pa.string())
-            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-3])
+            yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-2])
 
     out = rows.mapInArrow(run, docs.schema)
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out

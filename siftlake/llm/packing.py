@@ -24,14 +24,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from tokenizers import Tokenizer
 
-from .common import documents, settle
+from .common import KEPT, documents, settle
 
 WINDOW = 1024
 END_ID = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks; only words not met before go through it.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CACHE = 600_000
+CACHE = 400_000
 SALT_ROWS = 8192
 
 
@@ -84,14 +84,11 @@ class Encoder:
         return b"".join(got)
 
 
-_ENCODER: dict[tuple, Encoder] = {}
-
-
 def encoder(path: str, ranks: str) -> Encoder:
     """One encoder per Python worker and file."""
-    if (path, ranks) not in _ENCODER:
-        _ENCODER[path, ranks] = Encoder(path, ranks)
-    return _ENCODER[path, ranks]
+    if ("encoder", path, ranks) not in KEPT:
+        KEPT["encoder", path, ranks] = Encoder(path, ranks)
+    return KEPT["encoder", path, ranks]
 
 
 def pieces(docs: DataFrame, window: int = WINDOW, path: str = TOKENIZER, ranks: str = RANKS, ids: bool = False) -> DataFrame:

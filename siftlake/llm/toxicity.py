@@ -9,13 +9,14 @@ the two apart. The training rows are a bounded sample of the labelled ones (MAX_
 from __future__ import annotations
 
 import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, fold, lower_words, settle, texts
+from .common import documents, fold, lower_words, settle, slices, texts, utf8
 
 #: At most so many labelled rows train the model: those whose hashed ids are smallest.
 MAX_TRAIN = 20_000
@@ -25,7 +26,7 @@ MAX_TERMS = 4096
 MIN_DOCS = 5
 BUCKETS = 1 << 30
 FACTORS = 4
-CACHE = 400_000
+CACHE = 200_000
 THRESHOLD = 0.3
 
 
@@ -118,15 +119,23 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     picked = texts(docs).join(F.broadcast(rows.select("doc_id", F.col("label").cast("int").alias("label"))), "doc_id")
 
     def count(batches):
-        seen: dict[int, list[int]] = {}
-        both = [0, 0]
-        for b in batches:
+        seen: Counter = Counter()  # both labels' counts in one number
+
+        def out():
+            t = np.fromiter(seen.keys(), np.int64, len(seen))
+            n = np.fromiter(seen.values(), np.int64, len(seen))
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array(t), pa.array(n & 0xFFFFFFFF), pa.array(n >> 32)], ["t", "n0", "n1"])
+
+        for b in slices(batches):
             for text, y in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
-                both[y] += 1
+                step = 1 << 32 if y else 1
                 for t in {t for w in set(lower_words(text)) for t in terms(w)}:
-                    seen.setdefault(t, [0, 0])[y] += 1
-        seen[-1] = both
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.int64()), pa.array([x[0] for x in seen.values()], pa.int64()), pa.array([x[1] for x in seen.values()], pa.int64())], ["t", "n0", "n1"])
+                    seen[t] += step
+                seen[-1] += step
+                if len(seen) > 500_000:
+                    yield out()
+        yield out()
 
     counts = picked.mapInArrow(count, "t long, n0 long, n1 long").groupBy("t").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).where(f"t < 0 OR n0 + n1 >= {MIN_DOCS}")
     counts = settle(counts, "terms")
@@ -150,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     at = spark.sparkContext.broadcast(model.at)
 
     def sets(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [np.array(sorted({at.value[t] for w in set(lower_words(x)) for t in terms(w) if t in at.value}), "<i4").tobytes() for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary()), b.column(2)], ["doc_id", "ids", "label"])
 
@@ -168,7 +177,7 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> Data
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
+        for b in slices(batches):
             s = known.value.score(b.column(1).to_pylist(), cache)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "score", "predicted"])
 
@@ -178,15 +187,13 @@ def score(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> Data
 def clean_rows(docs: DataFrame, model: Machine, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` whose score stays under the threshold, with all their columns."""
     known = docs.sparkSession.sparkContext.broadcast(model)
-    held = docs.select("*", F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary").alias("_text"))
 
     def run(batches):
         cache: dict = {}
-        for b in batches:
-            keep = known.value.score(b.column(b.num_columns - 1).to_pylist(), cache) < threshold
-            yield pa.RecordBatch.from_arrays(b.columns[:-1], b.schema.names[:-1]).filter(pa.array(keep))
+        for b in slices(batches):
+            yield b.filter(pa.array(known.value.score(utf8(b), cache) < threshold))
 
-    return held.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(run, docs.schema)
 
 
 def train_labels(labels: DataFrame) -> DataFrame:
