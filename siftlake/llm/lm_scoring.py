@@ -1,13 +1,13 @@
 """LM scoring: whole documents under a gated recurrent model and under a unigram base.
 
 Counts cover all training documents. The recurrent model is trained in shards, each by truncated backpropagation from
-the same start, whose parameters are averaged in a tree, round after round; it sees the documents whose hashed ids fall
-into 1 of TRAIN_PART, or all of them while there are fewer than TRAIN_DOCS.
+the same start, whose parameters are averaged in a tree, round after round; it sees all of them as well.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,8 +21,9 @@ from .recurrent import Net, Vocabulary
 VOCABULARY = 200_000
 #: Words of smaller counts stay out, so that the last class learns how often a new word comes.
 MIN_COUNT = 2
-TRAIN_PART, TRAIN_DOCS = 32, 4000
 SHARD_TOKENS = 250_000
+#: Shards are trained in at most so many tasks, each of which gives one sum of parameters to the tree.
+TASKS = 256
 ROUNDS = 3
 #: The end of a document, as a token; no word has white space.
 END = b"\n"
@@ -94,9 +95,6 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
     """Fit the net on ``rows`` (doc_id, text): shards train alone, and their parameters are averaged by tokens."""
     spark = rows.sparkSession
     sc = spark.sparkContext
-    n = rows.count()
-    part = max(1, min(TRAIN_PART, n // TRAIN_DOCS))
-    some = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(part)) == 0)
     known = sc.broadcast(model)
 
     def number(batches):
@@ -104,25 +102,28 @@ def train(rows: DataFrame, model: Model, rounds: int = ROUNDS) -> None:
             ids = [known.value.ids(t)[0] for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())], ["doc_id", "ids", "n"])
 
-    held = settle(some.mapInArrow(number, "doc_id long, ids binary, n long"), "lm-train")
+    held = settle(rows.mapInArrow(number, "doc_id long, ids binary, n long"), "lm-train")
     tokens = held.agg(F.sum("n")).first()[0] or 0
     if not tokens:
         return
     shards = max(1, -(-tokens // SHARD_TOKENS))
-    dealt = settle(held.withColumn("shard", F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards)).cast("int")), "lm-shards").repartition(shards, "shard").select("ids").rdd
+    dealt = held.select(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(shards)).cast("int").alias("shard"), "ids").repartition(min(shards, TASKS), "shard").sortWithinPartitions("shard").rdd
     flat = model.net.flat
     for k in range(rounds):
         now = sc.broadcast(flat)
 
-        def shard(index, docs, now=now, k=k):
-            mine = [np.frombuffer(x, np.int32) for x in sorted(bytes(d[0]) for d in docs)]
-            if mine:
+        def run(docs, now=now, k=k):
+            total, tokens = 0.0, 0
+            for index, group in groupby(docs, key=lambda d: d[0]):
+                mine = [np.frombuffer(x, np.int32) for x in sorted(bytes(d[1]) for d in group)]
                 net = Net(known.value.vocabulary, now.value.copy())
-                net.train(mine, known.value.end, seed=1000 * k + index)
+                net.train(mine, known.value.end, seed=1_000_000 * k + index)
                 n = sum(map(len, mine))
-                yield net.flat.astype(np.float64) * n, n
+                total, tokens = total + net.flat.astype(np.float64) * n, tokens + n
+            if tokens:
+                yield total, tokens
 
-        total, n = dealt.mapPartitionsWithIndex(shard).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
+        total, n = dealt.mapPartitions(run).treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1]))
         flat = (total / n).astype(np.float32)
     model.net = Net(model.vocabulary, flat)
 

@@ -39,6 +39,20 @@ def test_scores_counts_and_base(spark):
     assert lm_scoring.score(none, model, counts).collect() == []
 
 
+def test_the_net_learns_from_every_document(spark, monkeypatch):
+    seen = []
+    settle = lm_scoring.settle
+    monkeypatch.setattr(lm_scoring, "settle", lambda df, name: seen.append((name, settle(df, name))) or seen[-1][1])
+    monkeypatch.setattr(lm_scoring, "SHARD_TOKENS", 4000)
+    monkeypatch.setattr(lm_scoring, "ROUNDS", 1)
+    df = spark.range(12_000).selectExpr("id AS doc_id", "concat('a', id % 50, ' b') AS text")
+    model, _ = lm_scoring.fit(df)
+    rows = dict(seen)["lm-train"]
+    assert {r["doc_id"] for r in rows.select("doc_id").collect()} == {i for i in range(12_000) if zlib.crc32(str(i).encode()) % 7 != 2}
+    assert rows.agg({"n": "sum"}).first()[0] == model.tokens
+    assert not np.array_equal(model.net.flat, recurrent.Net(model.vocabulary).flat)
+
+
 def small():
     counts = np.arange(200, 0, -1).astype(float)
     v = recurrent.Vocabulary(counts, 30.0)
