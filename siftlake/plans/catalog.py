@@ -530,6 +530,14 @@ def v6(spark, d):
     return similarity.vector_search(e.where("vec_id % 50 = 0"), e, 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
 
 
+@query("v6_vector_search_20", f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COS} AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, id, similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS n FROM s) WHERE n <= 5""")
+def v6_20(spark, d):
+    """Every row whose id is divisible by 20 is a query."""
+    e = spark.read.parquet(f"{d}/embeddings.parquet")
+    return similarity.vector_search(e.where("vec_id % 20 = 0"), e, 5).select("query_id", "id", F.round("similarity", 6).alias("similarity"))
+
+
 @query("p32_title_matches", f"""{C}, w AS (SELECT cluster_id, status, list_filter(list_distinct(list_filter(string_split_regex(lower(title), '\\s+'), lambda x: x <> '')), lambda x: x NOT IN ({', '.join(f"'{x}'" for x in lex.TITLE_STOP)})) AS w FROM clusters),
 s AS (SELECT a.cluster_id AS new_id, b.cluster_id AS old_id, len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) AS similarity FROM w a, w b WHERE a.status = 'open' AND b.status = 'resolved')
 SELECT new_id, old_id, round(similarity, 9) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY similarity DESC, old_id) AS n FROM s WHERE similarity >= 0.4) WHERE n = 1""")
