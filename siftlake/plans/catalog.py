@@ -546,6 +546,25 @@ def p32(spark, d):
     return similarity.title_matches(c.where("status = 'open'"), c.where("status = 'resolved'")).withColumn("similarity", F.round("similarity", 9))
 
 
+_TFIDF = r"""g AS (SELECT cluster_id, regexp_extract_all(lower(concat_ws(' ', title, array_to_string(keywords, ' '))), '\w\w+') AS w FROM t),
+tf AS (SELECT cluster_id, term, 1 + ln(count(*)) AS tf FROM (SELECT cluster_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM g) GROUP BY ALL),
+idf AS (SELECT term, ln((1.0 + (SELECT count(*) FROM t)) / (1 + count(*))) + 1 AS idf FROM tf GROUP BY term), v AS (SELECT cluster_id, term, tf * idf AS x FROM tf JOIN idf USING (term)),
+u AS (SELECT cluster_id, term, x / sqrt(sum(x * x) OVER (PARTITION BY cluster_id)) AS x FROM v)"""
+
+
+@query("p32_j8_regressions", f"""{C}, t AS (SELECT * FROM clusters WHERE status IN ('open', 'resolved')), {_TFIDF},
+c AS (SELECT a.cluster_id AS new_id, b.cluster_id AS old_id, round(sum(a.x * b.x), 9) AS cosine FROM u a JOIN u b USING (term) GROUP BY ALL),
+w AS (SELECT cluster_id, status, list_filter(list_distinct(list_filter(string_split_regex(lower(title), '\\s+'), lambda x: x <> '')), lambda x: x NOT IN ({', '.join(f"'{x}'" for x in lex.TITLE_STOP)})) AS w FROM t),
+s AS (SELECT a.cluster_id AS new_id, b.cluster_id AS old_id, coalesce(round(len(list_intersect(a.w, b.w)) / nullif(len(list_distinct(list_concat(a.w, b.w))), 0), 9), 0) AS jaccard, coalesce(cosine, 0) AS cosine
+  FROM w a JOIN w b ON a.status = 'open' AND b.status = 'resolved' LEFT JOIN c ON c.new_id = a.cluster_id AND c.old_id = b.cluster_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY new_id ORDER BY greatest(jaccard, cosine) DESC, old_id) AS n FROM s)
+SELECT new_id, old_id, CASE WHEN jaccard >= 0.4 AND cosine >= 0.62 THEN 'keyword+semantic' WHEN cosine >= 0.62 THEN 'semantic' ELSE 'keyword' END AS method, round(greatest(jaccard, cosine), 3) AS confidence
+FROM b WHERE n = 1 AND (jaccard >= 0.4 OR cosine >= 0.62)""")
+def p32_j8(spark, d):
+    c = clusters(spark, d)
+    return similarity.regression_matches(c.where("status = 'open'"), c.where("status = 'resolved'"))
+
+
 @query("m9_w11_cohesion", """WITH u AS (SELECT vec_id, label, list_transform(embedding::DOUBLE[], lambda x: x / sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS v FROM embeddings),
 p AS (SELECT label, i, avg(x) AS x FROM (SELECT label, unnest(v) AS x, generate_subscripts(v, 1) AS i FROM u) GROUP BY ALL), c AS (SELECT label, list(x ORDER BY i) AS c FROM p GROUP BY label),
 s AS (SELECT label, vec_id, round(list_dot_product(v, c) / sqrt(list_dot_product(c, c)), 9) AS s FROM u JOIN c USING (label)) SELECT label, round(avg(s), 6) AS cohesion, count(*) AS n FROM s GROUP BY label""")

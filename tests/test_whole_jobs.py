@@ -1,7 +1,12 @@
 """Queries take every row that they are said to take."""
 
+import math
+import re
+from collections import Counter
+
 import pytest
 
+from siftlake.operators import similarity
 from siftlake.plans import catalog, monitoring  # noqa: F401
 from test_catalog import SF, pytestmark  # noqa: F401
 
@@ -10,3 +15,26 @@ def test_every_twentieth_vector_is_a_query(spark):
     ids = {r[0] for r in spark.read.parquet(f"{SF}/embeddings.parquet").select("vec_id").collect()}
     got = {r[0] for r in catalog.QUERIES["v6_vector_search_20"](spark, SF).select("query_id").collect()}
     assert got == {i for i in ids if i % 20 == 0}
+
+
+def brute_cosines(texts):
+    """Cosines of sublinear TF-IDF vectors of words and pairs of neighbours."""
+    terms = [re.findall(r"\w\w+", t.lower()) for t in texts]
+    counts = [Counter(w + [" ".join(p) for p in zip(w, w[1:])]) for w in terms]
+    df = Counter(k for c in counts for k in c)
+    v = [{k: (1 + math.log(n)) * (math.log((1 + len(texts)) / (1 + df[k])) + 1) for k, n in c.items()} for c in counts]
+    size = [math.sqrt(sum(x * x for x in a.values())) for a in v]
+    return [[sum(x * b.get(k, 0) for k, x in a.items()) / (m * n) for b, n in zip(v, size)] for a, m in zip(v, size)]
+
+
+CLUSTERS = "cluster_id string, title string, keywords array<string>"
+
+
+def test_reworded_regressions_are_found(spark):
+    new = [("n1", "crashes when signing in", ["login", "signin", "crashes"]), ("n2", "dark mode", ["theme"]), ("n3", "slow menu loading", ["menu"])]
+    old = [("o1", "frozen today", ["login", "signin", "crashes"]), ("o2", "dark mode", ["theme"]), ("o3", "slow menu loading times", ["else"])]
+    got = {r[0]: r for r in similarity.regression_matches(spark.createDataFrame(new, CLUSTERS), spark.createDataFrame(old, CLUSTERS), semantic=0.3).collect()}
+    cos = brute_cosines([" ".join([t, *k]) for _, t, k in new + old])
+    assert (got["n1"]["old_id"], got["n1"]["method"]) == ("o1", "semantic") and got["n1"]["confidence"] == pytest.approx(cos[0][3], abs=6e-4)
+    assert tuple(got["n2"]) == ("n2", "o2", "keyword+semantic", 1.0)
+    assert got["n3"]["old_id"] == "o3" and got["n3"]["confidence"] == pytest.approx(max(0.75, cos[2][5]), abs=6e-4)
