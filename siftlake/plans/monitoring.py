@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import issues, monitoring, quality, scoring, similarity
 from ..sources import readers
 from ..sources.reviews import CLUSTERS_SQL, REVIEWS_SQL, RUNS_SQL, clusters, reviews, runs
-from .catalog import FEATURES_SQL, TOKENS, _any, featured, query
+from .catalog import _TFIDF, FEATURES_SQL, TOKENS, _any, featured, query
 
 R, C = f"WITH {REVIEWS_SQL}", f"WITH {CLUSTERS_SQL}"
 
@@ -174,6 +174,15 @@ def j9(spark, d):
     return a.join(i, "label").where("android_id <> ios_id").select("android_id", "ios_id")
 
 
+@query("j9_cross_platform_cosine", f"""{C}, p AS (SELECT *, regexp_matches(lower(title), '\\bandroid\\b|\\bpixel\\b') AS a, regexp_matches(lower(title), '\\biphone\\b') AS i FROM clusters),
+t AS (SELECT * FROM p WHERE a UNION ALL SELECT * FROM p WHERE i), {_TFIDF},
+s AS (SELECT x.cluster_id AS android_id, y.cluster_id AS ios_id, round(sum(x.x * y.x), 9) AS cosine FROM u x JOIN u y USING (term) JOIN p q ON q.cluster_id = x.cluster_id AND q.a JOIN p r ON r.cluster_id = y.cluster_id AND r.i WHERE x.cluster_id <> y.cluster_id GROUP BY ALL)
+SELECT android_id, ios_id, round(cosine, 3) AS confidence FROM s WHERE cosine >= 0.6""")
+def j9_cosine(spark, d):
+    p = clusters(spark, d).withColumn("low", F.lower("title"))
+    return similarity.cross_platform(p.where(F.col("low").rlike(r"\bandroid\b|\bpixel\b")), p.where(F.col("low").rlike(r"\biphone\b")))
+
+
 @query("j13_p11_evolution")
 def j13(spark, d):
     r = reviews(spark, d).withColumn("s", F.col("rating") / 5.0)

@@ -38,3 +38,12 @@ def test_reworded_regressions_are_found(spark):
     assert (got["n1"]["old_id"], got["n1"]["method"]) == ("o1", "semantic") and got["n1"]["confidence"] == pytest.approx(cos[0][3], abs=6e-4)
     assert tuple(got["n2"]) == ("n2", "o2", "keyword+semantic", 1.0)
     assert got["n3"]["old_id"] == "o3" and got["n3"]["confidence"] == pytest.approx(max(0.75, cos[2][5]), abs=6e-4)
+
+
+def test_cross_platform_pairs_are_alike(spark):
+    android = [("1", "android login crash", ["login", "crash"]), ("2", "android battery drain", ["battery"])]
+    ios = [("3", "iphone login crash", ["login", "crash"]), ("1", "android login crash", ["login", "crash"])]
+    got = {(r[0], r[1]): r[2] for r in similarity.cross_platform(spark.createDataFrame(android, CLUSTERS), spark.createDataFrame(ios, CLUSTERS)).collect()}
+    cos = brute_cosines([" ".join([t, *k]) for _, t, k in android + ios])
+    assert set(got) == {(a[0], b[0]) for i, a in enumerate(android) for j, b in enumerate(ios) if a[0] != b[0] and cos[i][2 + j] >= 0.6} == {("1", "3")}
+    assert got["1", "3"] == pytest.approx(cos[0][2], abs=6e-4)
