@@ -195,3 +195,35 @@ def adversarial(df: DataFrame, text: str = "content", score: str = "rating") ->
         (F.col("_i") >= 5).alias("is_sarcastic"),
         (F.col("_s") >= 5).alias("is_spam"),
     )
+
+
+def ensemble(df: DataFrame, inputs: list[str], label: str) -> DataFrame:
+    """``df`` (rows of features) with score, uncertainty and confidence of 0.4 logistic regression + 0.6 boosted trees.
+
+    Both are fitted on all rows whose ``label`` is not null, and score all rows.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier, LogisticRegression
+    from pyspark.ml.feature import StandardScaler, VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    points = VectorAssembler(inputCols=[f"_{c}" for c in inputs], outputCol="_x").transform(df.withColumns({f"_{c}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in inputs} | {"_y": F.col(label).cast("double")}))
+    points = points.drop(*[f"_{c}" for c in inputs]).persist()
+    common = {"featuresCol": "_scaled", "labelCol": "_y"}
+    models = [
+        StandardScaler(inputCol="_x", outputCol="_scaled", withMean=True),
+        LogisticRegression(**common, regParam=1e-4, predictionCol="_p1", rawPredictionCol="_r1", probabilityCol="_online"),
+        GBTClassifier(**common, maxIter=50, maxDepth=4, stepSize=0.1, subsamplingRate=0.8, seed=42, predictionCol="_p2").setRawPredictionCol("_r2").setProbabilityCol("_batch"),
+    ]
+    out = Pipeline(stages=models).fit(points.where("_y IS NOT NULL")).transform(points)
+    out = out.withColumns({"_a": vector_to_array("_online")[1], "_b": vector_to_array("_batch")[1]})
+    a, b = F.col("_a"), F.col("_b")
+    return out.select(*df.columns, (0.4 * a + 0.6 * b).alias("score"), *[c.alias(n) for c, n in zip(doubt(a, b), ("uncertainty", "confidence"))])
+
+
+def doubt(a: Column, b: Column) -> tuple[Column, Column]:
+    """Uncertainty and confidence of two models' probabilities; mixed sentiment and costly signals add to the first."""
+    boost = F.when(X.yes(F.col("has_concession") | (F.col("sentiment_contrast") > 0.05)), 0.15).otherwise(0.0) + F.when(X.yes(F.col("has_monetization_complaint") | F.col("has_retention_signal")), 0.1).otherwise(0.0)
+    uncertainty = F.least(F.lit(1.0), F.least(F.lit(1.0), (a - b) * (a - b)) + boost)
+    confidence = F.greatest(F.lit(0.3), F.least(F.lit(0.99), (1.0 - uncertainty) * 0.6 + (1.0 - F.abs(a - b)) * 0.4))
+    return uncertainty, confidence

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import lexicons as lex
 from ..functions import text as X
 from ..functions import vectors as V
-from ..operators import dedup, issues, quality, scoring, similarity
+from ..operators import dedup, issues, monitoring, quality, scoring, similarity
 from ..sources.reviews import CLUSTERS_SQL, REVIEWS_SQL, RUNS_SQL, clusters, reviews, runs
 
 QUERIES: dict = {}
@@ -511,10 +511,27 @@ def w9(spark, d):
 
 @query("p12_p13_health")
 def p12(spark, d):
-    m = {"psi": 0.3, "vocab": 0.2, "sentiment": -0.4, "emerging": 4.0, "stability": 0.6, "fake": 0.12, "spam": 0.06, "bursts": 1.0}
-    row = spark.createDataFrame([tuple(m.values())], ", ".join(f"{k} double" for k in m))
-    score = quality.health({k: F.col(k) for k in m})
-    return row.select(score.alias("health"), quality.risk(score).alias("risk"))
+    """Health, risk and the alerts that fire, from the metrics of even against odd review ids."""
+    r = reviews(spark, d).withColumn("s", F.col("rating") / 5.0)
+    old, new = (r.where(F.col("review_id") % 2 == k) for k in (0, 1))
+    snap = lambda rows: monitoring.snapshot(rows, "upload_id", "title", {"severity": "s", "actionability": "s"}, "review_id", "title")
+    base, now = snap(old), snap(new)
+    pairs = monitoring.matched(base, now, "upload_id")
+    numbers = lambda rows: rows.select(F.explode("embedding").alias("x"))
+    row = quality.psi(numbers(old), numbers(new), "x").select("psi")
+    for more in (
+        quality.vocabulary_drift(old, new, "content").select(F.col("new_ratio").alias("vocab")),
+        quality.sentiment_drift(old, new, "rating").select(F.col("mean_shift").alias("sentiment")),
+        monitoring.emerging(base, now, "upload_id", pairs).agg(F.count(F.lit(1)).alias("emerging")),
+        monitoring.evolution(base, now, "upload_id", pairs).agg(F.avg((F.col("status") == "stable").cast("int")).alias("stability")),
+        scoring.adversarial(r.select("content", "rating")).agg(F.avg(F.col("is_fake_positive").cast("int")).alias("fake"), F.avg(F.col("is_spam").cast("int")).alias("spam")),
+        monitoring.coordinated(r, "upload_id", "at", "title", "review_id").agg(F.count(F.lit(1)).alias("bursts")),
+    ):
+        row = row.crossJoin(more)
+    row = row.select(*[F.col(c).cast("double").alias(c) for c in row.columns]).localCheckpoint()
+    fired = quality.alerts(monitoring.unpivoted(row)).agg(F.array_sort(F.collect_list("rule")).alias("alerts"))
+    score = quality.health({k: F.col(k) for k in row.columns})
+    return row.crossJoin(fired).select(*[F.round(c, 6).alias(c) for c in row.columns], score.alias("health"), quality.risk(score).alias("risk"), "alerts")
 
 
 # ---- similarity, dedup ---------------------------------------------------------------------------------------------

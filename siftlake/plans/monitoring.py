@@ -10,7 +10,7 @@ from ..functions import text as X
 from ..operators import issues, monitoring, quality, scoring, similarity
 from ..sources import readers
 from ..sources.reviews import CLUSTERS_SQL, REVIEWS_SQL, RUNS_SQL, clusters, reviews, runs
-from .catalog import _TFIDF, FEATURES_SQL, TOKENS, _any, featured, query
+from .catalog import _TFIDF, FEATURE_COLUMNS, FEATURE_RATIOS, FEATURES_SQL, TOKENS, _any, featured, query
 
 R, C = f"WITH {REVIEWS_SQL}", f"WITH {CLUSTERS_SQL}"
 
@@ -263,15 +263,16 @@ def d6(spark, d):
 
 @query("d8_p22_calibrated")
 def d8(spark, d):
-    """Platt calibration of the rule score by logistic regression."""
+    """Platt calibration of the rule score by logistic regression, and the ensemble over the features, of every review."""
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import VectorAssembler
     from pyspark.ml.functions import vector_to_array
 
-    r = reviews(spark, d).where("is_actionable IS NOT NULL").select("review_id", F.col("is_actionable").cast("double").alias("label"), scoring.rule_score(F.col("content"), F.col("rating")).cast("double").alias("raw"))
-    points = VectorAssembler(inputCols=["raw"], outputCol="features").transform(r)
-    model = LogisticRegression(maxIter=50).fit(points)
-    return model.transform(points).select("review_id", "raw", F.round(vector_to_array("probability")[1], 6).alias("calibrated"))
+    r = featured(spark, d).withColumns({"label": F.col("is_actionable").cast("double"), "raw": scoring.rule_score(F.col("content"), F.col("rating")).cast("double")})
+    scored = scoring.ensemble(r, [*FEATURE_COLUMNS, *FEATURE_RATIOS], "is_actionable")
+    points = VectorAssembler(inputCols=["raw"], outputCol="features").transform(scored.select("review_id", "label", "raw", "score", "uncertainty", "confidence"))
+    model = LogisticRegression(maxIter=50).fit(VectorAssembler(inputCols=["raw"], outputCol="features").transform(r.where("label IS NOT NULL").select("label", "raw")))
+    return model.transform(points).select("review_id", "raw", F.round(vector_to_array("probability")[1], 6).alias("calibrated"), *[F.round(c, 6).alias(c) for c in ("score", "uncertainty", "confidence")])
 
 
 @query("d9_tfidf_labels")
@@ -293,16 +294,10 @@ def d9(spark, d):
 
 @query("v10_tfidf_vectors")
 def v10(spark, d):
-    """Offline text vectors: TF-IDF of words and word pairs, at length 1."""
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
-
-    r = reviews(spark, d).select("review_id", X.tokens(F.col("content")).alias("w"))
-    terms = r.select("review_id", F.concat("w", X.bigrams(F.col("w"))).alias("terms"))
-    tf = CountVectorizer(inputCol="terms", outputCol="tf", vocabSize=8000).fit(terms).transform(terms)
-    out = Normalizer(inputCol="idf", outputCol="vector").transform(IDF(inputCol="tf", outputCol="idf").fit(tf).transform(tf))
-    from pyspark.ml.functions import vector_to_array
-
-    return out.select("review_id", F.size(F.filter(vector_to_array("vector"), lambda x: x != 0)).alias("terms"))
+    """Offline text vectors: sublinear TF-IDF of words and word pairs, reduced to at most 384 dimensions, at length 1."""
+    r = reviews(spark, d).select("review_id", F.col("content").alias("text"))
+    vectors = similarity.text_vectors(r.select("text"))
+    return r.join(vectors, "text").select("review_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
 
 
 @query("v11_cache_hits", f"{R}, h AS (SELECT sha256(content) AS k, review_id FROM reviews), c AS (SELECT DISTINCT k FROM h WHERE review_id % 2 = 0) SELECT count(*) AS asked, count(c.k) AS hits, round(count(c.k) / count(*), 9) AS hit_rate FROM h LEFT JOIN c USING (k)")

@@ -6,7 +6,7 @@ from collections import Counter
 
 import pytest
 
-from siftlake.operators import similarity
+from siftlake.operators import quality, scoring, similarity
 from siftlake.plans import catalog, monitoring  # noqa: F401
 from test_catalog import SF, pytestmark  # noqa: F401
 
@@ -47,3 +47,30 @@ def test_cross_platform_pairs_are_alike(spark):
     cos = brute_cosines([" ".join([t, *k]) for _, t, k in android + ios])
     assert set(got) == {(a[0], b[0]) for i, a in enumerate(android) for j, b in enumerate(ios) if a[0] != b[0] and cos[i][2 + j] >= 0.6} == {("1", "3")}
     assert got["1", "3"] == pytest.approx(cos[0][2], abs=6e-4)
+
+
+def test_ensemble_of_two_models_scores_every_review(spark):
+    got = {r["review_id"]: r for r in catalog.QUERIES["d8_p22_calibrated"](spark, SF).collect()}
+    assert set(got) == {r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect()}
+    assert all(0 <= r["score"] <= 1 and 0 <= r["uncertainty"] <= 1 and 0.3 <= r["confidence"] <= 0.99 for r in got.values())
+    row = spark.createDataFrame([(0.9, 0.5, True, 0.0, False, True)], "a double, b double, has_concession boolean, sentiment_contrast double, has_monetization_complaint boolean, has_retention_signal boolean")
+    assert row.select(*scoring.doubt(*map(row.__getitem__, "ab"))).first()[:] == pytest.approx((0.16 + 0.25, 0.59 * 0.6 + 0.6 * 0.4))
+
+
+def test_health_and_alerts_come_from_the_tables(spark):
+    r = catalog.QUERIES["p12_p13_health"](spark, SF).first().asDict()
+    rates = catalog.QUERIES["p26_p28_adversarial"](spark, SF).selectExpr("avg(int(is_fake_positive))", "avg(int(is_spam))").first()
+    assert (r["fake"], r["spam"]) == pytest.approx(tuple(rates), abs=1e-6)
+    fires = {"gt": lambda v, t: v > t, "lt": lambda v, t: v < t}
+    assert r["alerts"] == sorted(rule for rule, m, op, t in quality.RULES if fires[op](r[m], t))
+
+
+def test_text_vectors_keep_the_cosines_of_tfidf(spark):
+    texts = ["login fails on the phone", "login fails today", "dark mode wanted", "dark mode please", "battery drains", "battery drains fast today"]
+    df = spark.createDataFrame([(t,) for t in texts * 2], "text string")
+    got = {r["text"]: r["vector"] for r in similarity.text_vectors(df).collect()}
+    cos = brute_cosines(texts * 2)
+    for i, a in enumerate(texts):
+        assert [sum(x * y for x, y in zip(got[a], got[b])) for b in texts] == pytest.approx(cos[i][:6], abs=1e-4)
+    small = {len(r["vector"]) for r in similarity.text_vectors(df, dims=3).collect()}
+    assert small == {3}
