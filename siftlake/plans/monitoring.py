@@ -54,6 +54,16 @@ def a8(spark, d):
     return spark.read.parquet(f"{d}/events.parquet").agg(F.round(F.try_divide(100.0 * (new - old), F.nullif(old, F.lit(0))), 6).cast("double").alias("volume_change_pct"))
 
 
+@query("a8_volume_halves", """WITH c AS (SELECT (min(epoch_us(ts)) + max(epoch_us(ts))) / 2.0 AS cut FROM events), n AS (SELECT count_if(epoch_us(ts) < cut) AS old, count_if(epoch_us(ts) >= cut) AS new FROM events, c)
+SELECT old::BIGINT AS n_old, new::BIGINT AS n_new, round(100.0 * (new::BIGINT - old::BIGINT) / nullif(old::BIGINT, 0), 6)::DOUBLE AS volume_change_pct FROM n""")
+def a8_halves(spark, d):
+    """The first and the second half of the time hold every event that has a time."""
+    e = spark.read.parquet(f"{d}/events.parquet").select(F.unix_micros(F.col("ts").cast("timestamp")).alias("t"))
+    cut = e.agg(((F.min("t") + F.max("t")) / 2.0).alias("cut"))
+    n = e.crossJoin(F.broadcast(cut)).agg(F.count_if(F.expr("t < cut")).alias("n_old"), F.count_if(F.expr("t >= cut")).alias("n_new"))
+    return n.withColumn("volume_change_pct", F.round(F.try_divide(100.0 * (F.col("n_new") - F.col("n_old")), F.nullif("n_old", F.lit(0))), 6).cast("double"))
+
+
 @query("a9_cluster_sizes", f"{R}, s AS (SELECT cluster_id, upload_id, count(*) AS size FROM reviews WHERE cluster_id IS NOT NULL GROUP BY ALL) SELECT count(*) AS clusters, round(avg(size), 6) AS mean_size, round(stddev_pop(size), 6) AS std_size, max(size) AS largest, min(size) AS smallest, round(avg((size = 1)::INT), 6) AS singleton_rate FROM s")
 def a9(spark, d):
     out = monitoring.size_stats(clusters_of(spark, d), "k")
@@ -186,16 +196,19 @@ def j9_cosine(spark, d):
 @query("j13_p11_evolution")
 def j13(spark, d):
     r = reviews(spark, d).withColumn("s", F.col("rating") / 5.0)
-    snap = lambda k: monitoring.snapshot(r.where(F.col("review_id") % 3 == k), "upload_id", "title", {"severity": "s", "actionability": "s"}, "review_id", "title")
+    snap = lambda k: monitoring.snapshot(r.where(F.col("review_id") % 2 == k), "upload_id", "title", {"severity": "s", "actionability": "s"}, "review_id", "title")
     old, new = snap(0), snap(1)
     return monitoring.evolution(old, new, "upload_id", monitoring.matched(old, new, "upload_id"))
 
 
 @query("j14_p9_emerging")
 def j14(spark, d):
+    """Uploads are whole: the earlier half of them is the old period, the later half the new one."""
     r = reviews(spark, d).withColumn("s", F.col("rating") / 5.0)
     snap = lambda rows: monitoring.snapshot(rows, "upload_id", "title", {"severity": "s", "actionability": "s"}, "review_id", "title")
-    old, new = snap(r.where("upload_id < 8 AND review_id % 2 = 0")), snap(r.where("review_id % 2 = 1"))
+    cut = r.agg(F.percentile("upload_id", 0.5).alias("cut"))
+    sided = r.crossJoin(F.broadcast(cut)).withColumn("early", X.yes(F.col("upload_id") <= F.col("cut")))
+    old, new = snap(sided.where("early")), snap(sided.where("NOT early"))
     return monitoring.emerging(old, new, "upload_id", monitoring.matched(old, new, "upload_id", least=0.95))
 
 
@@ -211,7 +224,7 @@ def j16(spark, d):
 @query("p10_drift_level")
 def p10(spark, d):
     r = reviews(spark, d).withColumn("s", F.col("rating") / 5.0)
-    snap = lambda k: monitoring.snapshot(r.where(F.col("review_id") % 3 == k), "upload_id", "title", {"severity": "s", "actionability": "s"}, "review_id", "title")
+    snap = lambda k: monitoring.snapshot(r.where(F.col("review_id") % 2 == k), "upload_id", "title", {"severity": "s", "actionability": "s"}, "review_id", "title")
     old, new = snap(0), snap(1)
     pairs = monitoring.matched(old, new, "upload_id")
     return monitoring.drift_level(monitoring.evolution(old, new, "upload_id", pairs), monitoring.emerging(old, new, "upload_id", pairs))

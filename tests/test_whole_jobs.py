@@ -74,3 +74,16 @@ def test_text_vectors_keep_the_cosines_of_tfidf(spark):
         assert [sum(x * y for x, y in zip(got[a], got[b])) for b in texts] == pytest.approx(cos[i][:6], abs=1e-4)
     small = {len(r["vector"]) for r in similarity.text_vectors(df, dims=3).collect()}
     assert small == {3}
+
+
+@pytest.mark.parametrize("name", ["j13_p11_evolution", "p10_drift_level", "j14_p9_emerging"])
+def test_two_periods_hold_every_review(spark, monkeypatch, name):
+    ids, snapshot = [], monitoring.monitoring.snapshot
+    monkeypatch.setattr(monitoring.monitoring, "snapshot", lambda rows, *a: ids.extend(r[0] for r in rows.select("review_id").collect()) or snapshot(rows, *a))
+    catalog.QUERIES[name](spark, SF)
+    assert sorted(ids) == sorted(r[0] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id").collect())
+
+
+def test_two_periods_hold_every_event(spark):
+    n = catalog.QUERIES["a8_volume_halves"](spark, SF).first()
+    assert n["n_old"] + n["n_new"] == spark.read.parquet(f"{SF}/events.parquet").where("ts IS NOT NULL").count()
