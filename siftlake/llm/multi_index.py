@@ -17,22 +17,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import settle
+from .common import settle, slices
 
 #: Codebooks and the share are fitted on at most about so many vectors, those whose hashed ids are smallest.
 SAMPLE = 16_384
 MOST_CENTROIDS = 256
 #: The share of entries to rerank holds this part of the sample's true neighbours.
 COVER = 0.97
-#: Entries and queries that meet in one task.
-BLOCK, CHUNK = 8192, 2048
+#: Entries of a block, at most and at least; a task holds one block at a time and streams queries past it, CHUNK at once.
+MOST_BLOCK, LEAST_BLOCK, CHUNK = 32_768, 2048, 256
 
 
 def vectors(rows: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """vec_id, key (digest of the vector), vec (its doubles' bytes), dim, for rows that have an id and a usable vector."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches, 2048):
             out = []
             for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 if i is None or not v or None in v:
@@ -82,7 +82,8 @@ class Index:
 
         Neighbours among all entries are nearer than those among a sample, so the share errs on the safe side.
         """
-        q = sample[:: max(1, len(sample) // 200)]
+        picked = np.arange(0, len(sample), max(1, len(sample) // 200))
+        q = sample[picked]
         cell = self.cells(sample)
         a, b = self.distances(q)
         seen = []
@@ -90,7 +91,9 @@ class Index:
             order = np.argsort((a[i][:, None] + b[i][None, :]).ravel()[cell], kind="stable")
             place = np.empty(len(order))
             place[order] = np.arange(1, len(order) + 1) / len(order)
-            near = np.argsort(-(sample @ q[i]), kind="stable")[1 : top + 1]
+            scores = sample @ q[i]
+            scores[picked[i]] = -np.inf  # a query is no candidate of its own, wherever it ranks
+            near = np.argsort(-scores, kind="stable")[: min(top, len(sample) - 1)]
             seen.append(place[near])
         all_ = np.concatenate(seen) if seen else np.ones(1)
         return float(np.quantile(all_, cover)) if len(all_) else 1.0
@@ -138,9 +141,12 @@ def search(rows: DataFrame, queries, top: int = 20, cover: float = COVER) -> Dat
     """query_id, rank (from 1), vec_id, score: the ``top`` nearest found of each row that ``queries`` (a condition on vec_id) picks.
 
     ``rows``: vec_id, embedding. Equal vectors are one entry with the ids that can matter, the smallest top + 1, so that
-    many copies neither crowd a cell nor multiply pairs; queries with equal vectors are searched once. Entries and
-    queries meet in blocks of bounded size. Rows without an id, and vectors null, zero, or with null or non-finite
-    components, take no part; nor do vectors whose length is not the most common one. Repeated rows count once.
+    many copies neither crowd a cell nor multiply pairs; queries with equal vectors are searched once. An entry goes to
+    one block, a query to the blocks of the cells it walks; a task holds one block's entries and streams queries past
+    them. Rows without an id, and vectors null, zero, or with null or non-finite components, take no part; nor do
+    vectors whose length is not the most common one (of lengths that tie, the smallest), which have no inner product
+    with the others. Rows that repeat an id and its vector count once; an id with several vectors is a candidate by each
+    of them, and a query by each. Other columns are ignored; an empty table gives an empty result.
     """
     spark = rows.sparkSession
     out = "query_id long, rank int, vec_id long, score double"
@@ -167,16 +173,15 @@ def search(rows: DataFrame, queries, top: int = 20, cover: float = COVER) -> Dat
     placed = settle(distinct.select("key", "vec", "ids").mapInArrow(place, "key binary, vec binary, ids array<long>, cell int"), "cells")
     for r in placed.groupBy("cell").count().collect():
         index.counts[r["cell"]] = r["count"]
-    # cells next to each other share blocks of about BLOCK entries; a larger cell is split
-    parts = np.maximum(1, -(-index.counts // BLOCK))
-    block_of = np.cumsum(np.where(parts > 1, 0, index.counts)) // BLOCK
+    # cells next to each other share blocks of about ``size`` entries; a larger cell is split
+    size = min(MOST_BLOCK, max(LEAST_BLOCK, n // 64))
+    parts = np.maximum(1, -(-index.counts // size))
+    block_of = np.cumsum(np.where(parts > 1, 0, index.counts)) // size
     first_own = int(block_of[-1]) + 1
     own = np.cumsum(np.where(parts > 1, parts, 0)) - np.where(parts > 1, parts, 0) + first_own
     block_of = np.where(parts > 1, own, block_of)
     walker = spark.sparkContext.broadcast((index, block_of, parts))
     asked = held.where(queries)
-    n_asked = asked.select("key").distinct().count()
-    chunks = max(1, -(-n_asked // CHUNK))
     least = max(top + 1, int(np.ceil(index.share * n)))
 
     def entry_block(batches):
@@ -189,7 +194,7 @@ def search(rows: DataFrame, queries, top: int = 20, cover: float = COVER) -> Dat
 
     def ask(batches):
         index, blocks, parts = walker.value
-        for b in batches:
+        for b in slices(batches, CHUNK):
             rows = []
             q = np.frombuffer(b"".join(b.column(1).to_pylist())).reshape(b.num_rows, dim)
             a, c = index.distances(q)
@@ -199,29 +204,35 @@ def search(rows: DataFrame, queries, top: int = 20, cover: float = COVER) -> Dat
                 for block in np.unique(of).tolist():
                     mine = np.sort(walked[of == block])
                     for part in range(int(parts[mine[0]])):
-                        rows.append((block + part, int.from_bytes(key[4:8], "little") % chunks, key, vec, mine.tobytes()))
-            held = list(zip(*rows)) or [()] * 5
-            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds)], ["block", "chunk", "key", "vec", "cells"])
-
-    def meet(table: pa.Table) -> pa.Table:
-        cells = table["cells"].to_pylist()
-        e = [i for i, c in enumerate(cells) if c is None]
-        q = [i for i, c in enumerate(cells) if c is not None]
-        found: list[tuple] = []
-        if e and q:
-            vec, ids, cell, key = (table[c].to_pylist() for c in ("vec", "ids", "cell", "key"))
-            x, y = (np.stack([np.frombuffer(vec[i]) for i in k]) for k in (e, q))
-            got = rerank(x, [ids[i] for i in e], np.array([cell[i] for i in e]), y, [np.frombuffer(cells[i], np.int32) for i in q], top + 1)
-            found = [(key[i], v, s) for i, best in zip(q, got) for s, v in best]
-        held = list(zip(*found)) or [()] * 3
-        return pa.table([pa.array(c, k) for c, k in zip(held, (pa.binary(), pa.int64(), pa.float64()))], names=["key", "vec_id", "score"])
-
-    entries = placed.mapInArrow(entry_block, "block long, key binary, vec binary, ids array<long>, cell int").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    entries = entries.select("block", "chunk", "key", "vec", "ids", "cell", F.lit(None).cast("binary").alias("cells"))
-    ones = asked.groupBy("key").agg(F.min("vec").alias("vec")).mapInArrow(ask, "block long, chunk int, key binary, vec binary, cells binary")
-    ones = ones.select("block", "chunk", "key", "vec", F.lit(None).cast("array<long>").alias("ids"), F.lit(None).cast("int").alias("cell"), "cells")
-    found = entries.unionAll(ones).groupBy("block", "chunk").applyInArrow(meet, "key binary, vec_id long, score double")
+                        rows.append((block + part, key, vec, mine.tobytes()))
+            held = list(zip(*rows)) or [()] * 4
+            kinds = (pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(held, kinds)], ["block", "key", "vec", "cells"])
+
+    def meet(batches):
+        block, held, entries = None, [], None
+        for b in slices(batches, CHUNK):
+            at, asks = b.column(0).to_numpy(), b.column(1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero((at[1:] != at[:-1]) | (asks[1:] != asks[:-1])) + 1).tolist(), len(at)]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                part = b.slice(i, j - i)
+                if at[i] != block:
+                    block, held, entries = at[i], [], None
+                vec = np.frombuffer(b"".join(part.column(3).to_pylist())).reshape(j - i, dim)
+                if not asks[i]:
+                    held.append((vec, part.column(4).to_pylist(), part.column(5).to_numpy()))
+                elif held:
+                    entries = entries or (np.concatenate([x[0] for x in held]), [x for y in held for x in y[1]], np.concatenate([x[2] for x in held]))
+                    got = rerank(*entries, vec, [np.frombuffer(x, np.int32) for x in part.column(6).to_pylist()], top + 1)
+                    found = list(zip(*((k, v, s) for k, best in zip(part.column(2).to_pylist(), got) for s, v in best))) or [()] * 3
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(found, (pa.binary(), pa.int64(), pa.float64()))], ["key", "vec_id", "score"])
+
+    entries = placed.mapInArrow(entry_block, "block long, key binary, vec binary, ids array<long>, cell int")
+    entries = entries.select("block", F.lit(False).alias("asks"), "key", "vec", "ids", "cell", F.lit(None).cast("binary").alias("cells"))
+    ones = asked.groupBy("key").agg(F.min("vec").alias("vec")).mapInArrow(ask, "block long, key binary, vec binary, cells binary")
+    ones = ones.select("block", F.lit(True).alias("asks"), "key", "vec", F.lit(None).cast("array<long>").alias("ids"), F.lit(0).alias("cell"), "cells")
+    both = entries.unionAll(ones).repartition("block").sortWithinPartitions("block", "asks")
+    found = both.mapInArrow(meet, "key binary, vec_id long, score double")
     order = [F.desc("score"), "vec_id"]
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy(*order))).where(F.col("nth") <= top + 1)
     lists = best.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("nth", "vec_id", "score"))).alias("near"))

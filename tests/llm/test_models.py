@@ -1,4 +1,5 @@
 import math
+import os
 import random
 import zlib
 from collections import Counter
@@ -218,6 +219,26 @@ def test_neighbours_against_brute_force(spark):
     assert multi_index.search(df.limit(0), "vec_id % 20 = 0").collect() == []
 
 
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="test tables")
+def test_recall_on_the_registered_table(spark):
+    path = "/root/testdata/sf0.1"
+    got = {}
+    for r in multi_index.query(spark, path).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    rows = [(r["vec_id"], np.array(r["embedding"], float)) for r in spark.read.parquet(f"{path}/embeddings.parquet").collect() if r["embedding"] and None not in r["embedding"]]
+    rows = [x for x in rows if x[0] is not None and np.isfinite(x[1]).all() and x[1].any()]
+    ids, vectors = np.array([x[0] for x in rows]), np.stack([x[1] for x in rows])
+    at = {int(i): k for k, i in enumerate(ids)}
+    found = []
+    for i in (int(i) for i in ids if i % 20 == 0):
+        score = (vectors * vectors[at[i]]).sum(axis=1)
+        best = [k for k in np.lexsort((ids, -score)) if ids[k] != i][:20]
+        mine = sorted(got[i])
+        assert [x[0] for x in mine] == list(range(1, 21)) and all(x[2] == pytest.approx(score[at[x[1]]], rel=1e-12) for x in mine)
+        found.append(len({x[1] for x in mine} & {int(ids[k]) for k in best}) / 20)
+    assert len(found) == sum(ids % 20 == 0) and np.mean(found) >= 0.9
+
+
 def test_walk_follows_the_summed_distances():
     rng = np.random.default_rng(3)
     index = multi_index.Index(rng.normal(size=(500, 8)), 500, 5)
