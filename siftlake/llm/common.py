@@ -72,6 +72,14 @@ def texts(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A name for a column of one's own that no column of ``df`` has, whatever their case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

@@ -4,7 +4,8 @@ N slots take golden-ratio points on a grid: with F the smallest Fibonacci number
 t = 0, 1, ... stands at grid point t * G mod F, and points from N on are left out. Each of the N others is met once, so
 that cumulative weights give each source exactly its number of slots, and any run of slots holds the sources nearly in
 proportion. A slot's rank within its source names a
-block of that source's shuffled token stream; ranks beyond the last block start over.
+block of that source's shuffled token stream; ranks beyond the last block start over. A document is met in the slots
+from first_slot to last_slot; the mix is read in the order of slots.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, WORD, documents, settle, slices, utf8
+from .common import SPACE, WORD, documents, settle, shuffle_parts, slices, spare, utf8
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -96,7 +97,8 @@ def schedule(spark: SparkSession, slots: list[int]) -> DataFrame:
 
 
 def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: Fraction = SHARE, block: int = BLOCK) -> DataFrame:
-    """doc_id, source, size, source_size, target (its source's) and taken, the words that the mix takes, of every row of ``docs``.
+    """doc_id, source, size, source_size, target (its source's), taken, the words that the mix takes, and first_slot and
+    last_slot, between which it takes them (-1 if none), of every row of ``docs``.
 
     Columns used: doc_id, text, source; those of ``keep`` come along in a struct named row. A source's documents are put in the order of a hash of their
     ids, their words form one stream, and the stream is cut into blocks of ``block`` words. The schedule's slots join
@@ -108,7 +110,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: Fra
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    row = [F.struct(*[F.col(c) for c in keep]).alias("row")] if keep else []
+    row = [F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row")] if keep else []
     held = settle(docs.select(F.col("doc_id"), F.col("source"), size.alias("size"), F.monotonically_increasing_id().alias("_uid"), *row), "mix")
     per = sorted(((r["source"], r["size"] or 0, r["n"]) for r in held.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()), key=lambda r: (r[0] is None, r[0] or ""))
     sizes, total = [r[1] for r in per], sum(r[1] for r in per)
@@ -131,11 +133,12 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: Fra
     rows = rows.withColumn("before", F.coalesce(F.sum("size").over(within), F.lit(0))).join(starts, ["source_no", "bucket"]).withColumn("start", F.col("base") + F.col("before"))
 
     pieces = rows.where("size > 0").select("_uid", "source_no", "start", "size", "_words", "_blocks", "source_size", F.explode(F.sequence(F.expr(f"start div {block}"), F.expr(f"(start + size - 1) div {block}"))).alias("block"))
-    taken = schedule(spark, slots).join(table.select("source_no", F.col("_blocks").alias("_b")), "source_no").select("source_no", F.expr("rank % _b").alias("block"), F.expr("rank div _b").alias("pass"))
+    taken = schedule(spark, slots).join(table.select("source_no", F.col("_blocks").alias("_b")), "source_no").select("slot", "source_no", F.expr("rank % _b").alias("block"), F.expr("rank div _b").alias("pass"))
     left = f"least(block * {block} + {block}, start + size, _words - pass * source_size) - greatest(block * {block}, start)"
-    got = pieces.join(taken, ["source_no", "block"]).groupBy("_uid").agg(F.sum(F.expr(f"greatest(0L, {left})")).alias("taken"))
+    met = pieces.join(taken, ["source_no", "block"]).withColumn("got", F.expr(left)).where("got > 0")
+    got = met.groupBy("_uid").agg(F.sum("got").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     about = rows.select("_uid", "source_size", "target").join(got, "_uid", "left")
-    return held.join(about, "_uid").select("doc_id", "source", *(["row"] if keep else []), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    return held.join(about, "_uid").select("doc_id", "source", *(["row"] if keep else []), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("first_slot", "last_slot")))
 
 
 def first_words(text: bytes, n: int) -> bytes:
@@ -149,27 +152,32 @@ def first_words(text: bytes, n: int) -> bytes:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of which the mix takes words, with the columns of ``docs``: the text holds the words taken, n_chars their length.
 
-    A text taken whole stays as it is; whole repeats and the last, cut one follow on a new line.
+    A text taken whole stays as it is; whole repeats and the last, cut one follow on a new line. Rows are written in the
+    order of the slots in which the schedule first meets them, so that any run of them holds the sources in proportion.
+    Null and empty texts go, as nothing is taken of them; null ids and repeated rows count as documents of their own.
+    Columns of any name may come along; an empty table gives an empty result.
     """
+    whole, rest, slot = (spare(docs, c) for c in ("whole", "rest", "slot"))
     rows = mix(docs, keep=tuple(docs.columns)).where("taken > 0")
-    rows = rows.select("row.*", F.expr("taken div size").alias("_whole"), F.expr("taken % size").alias("_rest"))
+    rows = rows.select("row.*", F.col("first_slot").alias(slot), F.expr("taken div size").alias(whole), F.expr("taken % size").alias(rest))
+    rows = rows.repartitionByRange(max(1, shuffle_parts(docs.sparkSession)), slot).sortWithinPartitions(slot, "doc_id").drop(slot)
     at = docs.columns.index("text")
 
     def run(batches):
         for b in slices(batches):
             out = []
-            for text, whole, rest in zip(utf8(b), *(b.column(b.num_columns - k).to_pylist() for k in (2, 1))):
-                out.append(b"\n".join([text] * whole + ([first_words(text, rest)] if rest else [])))
+            for text, n, more in zip(utf8(b), *(b.column(b.num_columns - k).to_pylist() for k in (2, 1))):
+                out.append(b"\n".join([text] * n + ([first_words(text, more)] if more else [])))
             columns = list(b.columns[:-2])
             columns[at] = pa.array(out, pa.binary()).cast(pa.string())
             yield pa.RecordBatch.from_arrays(columns, b.schema.names[:-2])
 
     out = rows.mapInArrow(run, docs.schema)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns]) if "n_chars" in docs.columns else out
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "last_slot")
 
 
 SQL = r"""
@@ -193,10 +201,29 @@ t AS (
   SELECT c.source, c.source_size, CASE WHEN c.k < l.k THEN (2 * c.source_size)::DOUBLE ELSE l.num * c.w / l.den END AS target
   FROM c, l),
 u AS (
-  SELECT d.doc_id, d.size, t.source_size::BIGINT AS source_size, t.target, floor(t.target + 0.5)::BIGINT AS words,
+  SELECT d.doc_id, d.source, row_number() OVER () AS uid, d.size, t.source_size::BIGINT AS source_size, t.target, floor(t.target + 0.5)::BIGINT AS words,
          (sum(d.size) OVER (PARTITION BY d.source ORDER BY d.h, d.doc_id, d.size ROWS UNBOUNDED PRECEDING) - d.size)::BIGINT AS start
-  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target,
-       CASE WHEN size = 0 THEN 0 ELSE (words // source_size) * size + greatest(0, least(size, words % source_size - start)) END::BIGINT AS taken
-FROM u
+  FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+r AS (
+  SELECT source, source_size::BIGINT AS total, floor(target + 0.5)::BIGINT AS words, (source_size::BIGINT + 1023) // 1024 AS blocks,
+         row_number() OVER (ORDER BY source NULLS LAST) AS no FROM t),
+e AS (
+  SELECT *, CASE WHEN total = 0 THEN 0 ELSE words // total * blocks + (words % total + 1023) // 1024 END AS slots FROM r),
+y AS (SELECT *, sum(slots) OVER (ORDER BY no) AS up_to FROM e),
+fib AS (
+  WITH RECURSIVE f(a, b) AS (SELECT 1::BIGINT, 1::BIGINT UNION ALL SELECT b, a + b FROM f WHERE b < (SELECT sum(slots) FROM e))
+  SELECT max(b) AS grid, max_by(a, b) AS step FROM f),
+p AS (
+  SELECT slot, slot * step % grid AS point FROM fib, (SELECT unnest(range((SELECT grid FROM fib))) AS slot)),
+v AS (
+  SELECT p.slot, y.no, y.source, y.total, y.words, y.blocks, row_number() OVER (PARTITION BY y.no ORDER BY p.slot) - 1 AS rank
+  FROM p JOIN y ON p.point >= y.up_to - y.slots AND p.point < y.up_to),
+m AS (
+  SELECT u.uid, v.slot,
+         least(rank % blocks * 1024 + 1024, start + size, v.words - rank // blocks * total) - greatest(rank % blocks * 1024, start) AS got
+  FROM u JOIN v ON u.source IS NOT DISTINCT FROM v.source AND rank % blocks BETWEEN start // 1024 AND (start + size - 1) // 1024
+  WHERE u.size > 0),
+g AS (SELECT uid, sum(got)::BIGINT AS taken, min(slot) AS first_slot, max(slot) AS last_slot FROM m WHERE got > 0 GROUP BY uid)
+SELECT doc_id, size, source_size, target, coalesce(g.taken, 0)::BIGINT AS taken, coalesce(first_slot, -1) AS first_slot, coalesce(last_slot, -1) AS last_slot
+FROM u LEFT JOIN g USING (uid)
 """
