@@ -1,9 +1,10 @@
 """Blocked Bloom filters of what occurs more than once, built without gathering the keys anywhere.
 
 Keys (64-bit hashes) are dealt to segments by their leading bits. Each task first merges its own equal keys, so that a
-key with a third of all rows reaches its segment once per task. A segment's task runs the two passes over its keys: a
-key whose bits are all set when it arrives goes into the filter of repeated keys. Only that second filter leaves the
-task. Its size is bounded by MAX_BITS whatever the input; beyond about 27 million distinct repeated keys it lets more
+key with a third of all rows reaches its segment once per task. A segment with more than GROUP keys is split by further
+bits of the hash, so that a task's memory does not grow with the input; the parts' filters are united. A task runs the two
+passes over its keys: a key whose bits are all set when it arrives goes into the filter of repeated keys. Only that second
+filter leaves the task. Its size is bounded by MAX_BITS whatever the input; beyond about 27 million distinct repeated keys it lets more
 keys through that occur once, which costs shuffle and never a result.
 """
 
@@ -16,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 MAX_BITS = 1 << 28
 SEGMENT_BITS = 1 << 16
 PROBES = 5
+#: Keys that one task's two passes take, about; each needs some 250 bytes.
+GROUP = 1 << 18
 
 
 def _mix(h: np.ndarray, salt: int) -> np.ndarray:
@@ -73,13 +76,15 @@ class RepeatFilter:
         return found
 
 
-def repeated(keys: DataFrame, n: int) -> RepeatFilter:
+def repeated(keys: DataFrame, n: int, group: int = 0) -> RepeatFilter:
     """The filter of keys that occur in ``keys`` (columns h long, twice boolean) more than once; ``n``: rows, about.
 
     ``twice`` marks a row that already stands for several. The driver receives at most MAX_BITS bits.
     """
     spark: SparkSession = keys.sparkSession
+    split = group or GROUP
     segments = max(1, min(MAX_BITS, 1 << max(16, int(8 * max(n, 1)).bit_length())) // SEGMENT_BITS)
+    parts = max(1, -(-n // (segments * split)))
 
     def merge(batches):
         held: list[np.ndarray] = []
@@ -90,7 +95,9 @@ def repeated(keys: DataFrame, n: int) -> RepeatFilter:
             h, inverse, count = np.unique(h, return_inverse=True, return_counts=True)
             many = (count > 1) | (np.bincount(inverse, weights=t, minlength=len(h)) > 0)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(_segment(h.view(np.uint64), segments)), pa.array(h), pa.array(many)], ["segment", "h", "twice"])
+            u = h.view(np.uint64)
+            part = (_mix(u, 4) % np.uint64(parts)).astype(np.int32)
+            return pa.RecordBatch.from_arrays([pa.array(_segment(u, segments)), pa.array(part), pa.array(h), pa.array(many)], ["segment", "part", "h", "twice"])
 
         size = 0
         for b in batches:
@@ -111,6 +118,12 @@ def repeated(keys: DataFrame, n: int) -> RepeatFilter:
         bits[_positions(h[hit], SEGMENT_BITS).ravel().astype(np.int64)] = 1
         return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
 
-    merged = keys.select("h", "twice").mapInArrow(merge, "segment int, h long, twice boolean")
-    rows = merged.groupBy("segment").applyInArrow(build, "segment int, bits binary").collect()
+    def unite(table: pa.Table) -> pa.Table:
+        bits = [np.frombuffer(x, np.uint8) for x in table["bits"].to_pylist()]
+        return pa.table({"segment": table["segment"][:1], "bits": pa.array([np.bitwise_or.reduce(bits).tobytes()], pa.binary())})
+
+    out = "segment int, bits binary"
+    merged = keys.select("h", "twice").mapInArrow(merge, "segment int, part int, h long, twice boolean")
+    filters = merged.groupBy("segment", "part").applyInArrow(build, out)
+    rows = (filters.groupBy("segment").applyInArrow(unite, out) if parts > 1 else filters).collect()
     return RepeatFilter({r["segment"]: bytes(r["bits"]) for r in rows}, segments)

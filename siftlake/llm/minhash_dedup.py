@@ -267,9 +267,13 @@ def near_groups(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> D
 
 
 def first_rows(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns: of each component the document with the smallest id."""
+    """The rows of ``docs`` that stay, with all their columns: of each component the document with the smallest id.
+
+    Texts without words, null among them, are in no component and stay, as do rows with a null id. Rows that repeat an
+    id stay or go together. Columns of any name may come along; an empty table gives an empty result.
+    """
     gone = near_groups(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

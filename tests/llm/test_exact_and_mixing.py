@@ -41,6 +41,21 @@ def test_rows_that_stay(spark):
     assert exact_dedup.distinct_rows(frame(spark, [])).collect() == [] == exact_dedup.exact_groups(frame(spark, [])).collect()
 
 
+def test_hot_texts_are_looked_up_and_others_joined(spark, monkeypatch):
+    rows = [(i, "common text" if i % 3 else f"text {i // 9}", "x") for i in range(90)]
+    want = sorted(map(str, exact_dedup.exact_groups(frame(spark, rows)).collect()))
+    for hot in (1, 3, 1 << 30):
+        monkeypatch.setattr(exact_dedup, "HOT", hot)
+        assert sorted(map(str, exact_dedup.exact_groups(frame(spark, rows)).collect())) == want
+
+
+def test_filter_of_many_parts(spark):
+    h = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 4000)
+    df = spark.createDataFrame([(int(x),) for x in [*h, *h[:300]]], "h long").selectExpr("h", "false AS twice")
+    known = bloom.repeated(df, 4300, group=100)
+    assert known.maybe(h[:300]).all() and known.maybe(h[300:]).mean() < 0.1
+
+
 def test_filter_misses_no_repeat(spark):
     rng = np.random.default_rng(2)
     h = rng.integers(-(1 << 62), 1 << 62, 5000)
@@ -100,6 +115,23 @@ def test_mix_meets_targets(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_the_schedule_decides_the_order(spark, monkeypatch):
+    rows = [(i, "w " * 40, f"s{i % 3}") for i in range(120)]
+    got = mixing.mix(frame(spark, rows), block=16).collect()
+    assert all((r["first_slot"] <= r["last_slot"]) if r["taken"] else r["first_slot"] == r["last_slot"] == -1 for r in got)
+    order = [r["source"] for r in sorted(got, key=lambda r: r["first_slot"]) if r["taken"]]
+    for k in ("s0", "s1", "s2"):
+        drift = np.abs(np.cumsum([s == k for s in order]) - np.arange(1, len(order) + 1) * order.count(k) / len(order))
+        assert drift.max() < 12
+    long = frame(spark, [(i, "w " * 400, f"s{i % 3}") for i in range(120)])
+    assert len({r["source"] for r in mixing.mixed_rows(long).collect()[:20]}) == 3
+    monkeypatch.setattr(mixing, "fibonacci", lambda n: (n, 1))
+    plain = mixing.mix(frame(spark, rows), block=16).collect()
+    assert sorted((r["doc_id"], r["taken"]) for r in plain) == sorted((r["doc_id"], r["taken"]) for r in got)
+    order = [r["source"] for r in sorted(plain, key=lambda r: r["first_slot"]) if r["taken"]]
+    assert len({*order[:20]}) == 1
+
+
 def test_mixed_texts_have_the_words_taken(spark):
     rows = [(i, " a  b\nc d e" * (i + 1), f"s{i % 2}") for i in range(20)] + [(50, "", "s1")]
     docs = frame(spark, rows)

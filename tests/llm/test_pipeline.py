@@ -57,6 +57,36 @@ def test_stages(spark):
     assert max(fill.values()) <= 1024 and sum(fill.values()) >= 0.97 * 1024 * len(fill)
 
 
+HARD = [(1, None), (2, ""), (3, " \n"), (4, "a b c d e f"), (4, "a b c d e f"), (None, "a b c d e f"), (None, None), (5, "word " * 30_000), (6, "x" * 100_000), (7, "a  b c d e\tf"), (8, "ü 日本 é ß a b")]
+CLASHES = ["sha", "_sha", "SHA", "nth", "_n", "whole", "_whole", "rest", "_rest", "slot", "size", "row", "kept", "score", "rep", "key", "h", "taken"]
+
+
+@pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
+def test_stages_on_hard_rows(spark, name, stage):
+    """Null and repeated ids, null, empty and long texts, clashing columns, an empty table."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in CLASHES if c != "SHA")
+    rows = [(d, t, None if i % 3 else "en", None if i % 4 == 0 else f"s{i % 2}", None, *range(len(CLASHES) - 1)) for i, (d, t) in enumerate(HARD)]
+    docs = spark.createDataFrame(rows, schema)
+    out = stage(spark, docs, SF)
+    got = [r.asDict() for r in out.collect()]
+    if name == "packing":
+        assert {r["doc_id"] for r in got} == {d for d, _ in HARD}
+    else:
+        assert out.columns == docs.columns
+        assert all(list(r.values())[5:] == list(range(len(CLASHES) - 1)) for r in got)
+        known = {(d, norm(t)) for d, t in HARD}
+        assert name == "mixing" or {(r["doc_id"], norm(r["text"])) for r in got} <= known
+    if name == "toxicity":
+        assert len(got) == len(HARD)
+    if name == "exact dedup":
+        assert sorted(norm(r["text"]) for r in got) == sorted({norm(t) for _, t in HARD})
+    if name == "near dedup":
+        assert {r["doc_id"] for r in got} == {1, 2, 3, 4, None, 5, 6, 8}
+    if name == "mixing":
+        assert sum(len(r["text"].encode().split()) for r in got) == pytest.approx(1.5 * sum(len((t or "").encode().split()) for _, t in HARD), abs=3)
+    assert stage(spark, docs.limit(0), SF).collect() == []
+
+
 @pytest.mark.parametrize("name", list(registry.ORACLE))
 def test_queries_against_sql(spark, name):
     con = duckdb.connect()
