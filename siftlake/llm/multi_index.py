@@ -174,7 +174,7 @@ def search(rows: DataFrame, queries, top: int = 20, cover: float = COVER) -> Dat
     for r in placed.groupBy("cell").count().collect():
         index.counts[r["cell"]] = r["count"]
     # cells next to each other share blocks of about ``size`` entries; a larger cell is split
-    size = min(MOST_BLOCK, max(LEAST_BLOCK, n // 64))
+    size = min(MOST_BLOCK, max(LEAST_BLOCK, n // 12))
     parts = np.maximum(1, -(-index.counts // size))
     block_of = np.cumsum(np.where(parts > 1, 0, index.counts)) // size
     first_own = int(block_of[-1]) + 1
