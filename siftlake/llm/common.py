@@ -40,6 +40,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+#: Rows in a batch that goes to a Python worker, at most; whole texts are wide, and both sides hold a batch in memory.
+BATCH_ROWS = 2048
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows per Arrow batch to BATCH_ROWS, unless it has fewer already."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if not 0 < now <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A path of its own in the shared folder; it goes when the session's JVM ends."""
     path = f"{shared_dir(spark)}/siftlake/{name}-{uuid.uuid4().hex}"
@@ -58,6 +70,7 @@ def discard(spark: SparkSession, path: str) -> None:
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: it is not computed twice, and no lineage is left."""
     spark = df.sparkSession
+    small_batches(spark)
     path = fresh_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

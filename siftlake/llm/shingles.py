@@ -50,15 +50,22 @@ def word_hashes(text: bytes, lower: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     return mix((sums[end] - sums[first]) * down[first]), first, end
 
 
-def runs(h: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every run of ``size`` consecutive words; empty if there are fewer words."""
+def runs(h: np.ndarray, size: int, odd: int = ODD) -> np.ndarray:
+    """Hash of every run of ``size`` consecutive words; empty if there are fewer words. Another ``odd``, another hash."""
     n = len(h) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
-    for k in range(size):
-        out = out * np.uint64(ODD) + h[k : k + n]
-    return mix(out)
+    # by doubling: a run of 2m words is a run of m, times odd^m, plus the next run of m
+    out, done, part, have = None, 0, h, 1
+    while True:
+        if size & have:
+            first = part[: n + size - done - have]
+            out = first if out is None else out[: len(first)] * np.uint64(pow(odd, have, 1 << 64)) + part[done : done + len(first)]
+            done += have
+        if 2 * have > size:
+            return mix(out[:n])
+        part = part[: len(part) - have] * np.uint64(pow(odd, have, 1 << 64)) + part[have:]
+        have *= 2
 
 
 def shingle_set(text: bytes, size: int, lower: bool = True) -> np.ndarray:

@@ -1,12 +1,13 @@
 """Substring dedup by prefix-partitioned suffix trees.
 
-A window is SPAN consecutive words. Its prefix runs from its first word to the end of its anchor, the run of GRAM words
-with the smallest hash inside it, so prefixes have GRAM to SPAN words, and equal windows have equal prefixes. The
-suffixes that begin at windows are dealt to groups by anchor; a suffix tree of depth SPAN is built of each prefix in
-the group, and a node of that depth with several leaves is a repeat: its leaves in other documents than the one of
-smallest id are removed, neighbouring ones as one maximal repeat. Only anchors that a Bloom filter calls repeated
-leave their documents, with the words around them that their windows can reach. Anchors with more than GROUP
-occurrences take their whole windows as prefixes, which are merged by a grouped minimum before they shuffle.
+A window is SPAN consecutive words; windows are suffixes cut at SPAN words. Its prefix runs from its first word to the end
+of its anchor, the run of GRAM words with the smallest hash inside it, so prefixes have GRAM to SPAN words, and equal
+windows have equal prefixes. Suffixes are dealt to groups by anchor, and each group's subtree is held as a suffix array
+over the distinct texts around the anchor: neighbours that agree on SPAN words lie below one internal node of that depth.
+Where such a node has leaves in several documents, all but those of the smallest id are removed; neighbouring windows
+make up the maximal repeat. Only anchors that a Bloom filter calls repeated leave their documents, with the words around
+them that their windows can reach. The prefixes of anchors with more than GROUP occurrences are lengthened to whole
+windows, so that a group is one node, of which a grouped minimum (combined before the shuffle) is all that is asked.
 """
 
 from __future__ import annotations
@@ -23,11 +24,18 @@ from .common import documents, settle, slices, words
 
 SPAN = 50
 GRAM = 8
-#: Occurrences of an anchor that one task may hold; one has about 100 words.
+#: Occurrences of an anchor that one task may hold (or 2^-20 of all, if that is more); one has about 100 words.
 GROUP = 20_000
+#: Occurrences whose suffix arrays are built at once, of whole groups.
+BATCH = 4096
+#: Hot anchors are at most HOT by that; so are hot windows, which have more than this part of all rows. Both are broadcast.
+HOT = 1 << 20
+HOT_WINDOWS = 1 << 17
 #: Longer words are replaced by their digest in what is shuffled.
 LONG_WORD = 64
-LAST = 1 << 62
+#: The multiplier of a window's second hash.
+OTHER = 0x9FB21C651E98DF25
+LAST = (1 << 63) - 1
 
 
 def _slide(x: np.ndarray, size: int, op) -> np.ndarray:
@@ -110,108 +118,188 @@ def occurrences(docs: DataFrame, known, span: int, gram: int) -> DataFrame:
     return _source(docs).mapInArrow(run, "anchor long, doc_id long, th long, at int, left int, words binary")
 
 
-def deep_nodes(suffixes: list[bytes], docs: list[int]) -> list[int]:
-    """Of the tree of these suffixes, all cut at the depth wanted: the leaves below nodes with another leaf of smaller id.
+def names_of(words_at: np.ndarray, span: int) -> np.ndarray:
+    """The rank of each place's next ``span`` words among all places, by doubling; the last span - 1 places have none.
 
-    The tree is held as its leaves in order; a node at full depth is a run of equal neighbours.
+    Sorting places by it gives their suffix array to that depth; places of equal rank share ``span`` words.
     """
-    order = sorted(range(len(suffixes)), key=suffixes.__getitem__)
-    out, k = [], 0
-    while k < len(order):
-        end = k + 1
-        while end < len(order) and suffixes[order[end]] == suffixes[order[k]]:
-            end += 1
-        if end - k > 1:
-            owner = min(docs[i] for i in order[k:end])
-            out += [i for i in order[k:end] if docs[i] > owner]
-        k = end
-    return out
+    rank, have = words_at.astype(np.int64), 1
+    while have < span:
+        step = min(have, span - have)
+        if len(rank) <= step:
+            return np.zeros(0, np.int64)
+        rank = np.unique(rank[:-step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1]
+        have += step
+    return rank
+
 
+def node_owners(texts_: list[list[bytes]], owners: np.ndarray, span: int) -> list[np.ndarray]:
+    """For each text and each of its windows, the smallest owner of a text that holds the window.
 
-def repeats_of(group: list[tuple], span: int, gram: int) -> list[tuple[int, int, int]]:
-    """(occurrence, first word, end) of the words to remove around the occurrences (doc, at, left, words) of an anchor."""
-    split = [words(g[3]) for g in group]
-    docs = [LAST if g[0] is None else g[0] for g in group]
-    if len(group) == 2:
-        if docs[0] == docs[1]:
-            return []
-        i = 1 if docs[1] > docs[0] else 0
-        (_, _, la, _), (_, _, lb, _) = group
-        a, b, left, right = split[0], split[1], 0, 0
-        while left < min(la, lb) and a[la - 1 - left] == b[lb - 1 - left]:
-            left += 1
-        while la + right < len(a) and lb + right < len(b) and a[la + right] == b[lb + right]:
-            right += 1
-        return [(i, group[i][1] - left, group[i][1] + right)] if right >= gram and left + right >= span else []
-    hits: list[list[int]] = [[] for _ in group]
-    for r in range(span - gram, -1, -1):
-        have = [i for i, g in enumerate(group) if g[2] >= r and g[2] - r + span <= len(split[i])]
-        if len(have) > 1:
-            for k in deep_nodes([b" ".join(split[i][group[i][2] - r : group[i][2] - r + span]) for i in have], [docs[i] for i in have]):
-                hits[have[k]].append(group[have[k]][1] - r)
-    out = []
-    for i, starts in enumerate(hits):
-        for s in starts:
-            if out and out[-1][0] == i and s <= out[-1][2]:
-                out[-1] = (i, out[-1][1], s + span)
-            else:
-                out.append((i, s, s + span))
+    In the suffix array of all texts' windows, those that share a node of depth ``span`` are neighbours.
+    """
+    sizes = np.array([len(t) for t in texts_])
+    number: dict[bytes, int] = {}
+    all_ = np.fromiter((number.setdefault(w, len(number)) for t in texts_ for w in t), np.int64, int(sizes.sum()))
+    first = np.cumsum(sizes) - sizes
+    many = np.maximum(sizes - span + 1, 0)
+    places = np.arange(int(many.sum())) + np.repeat(first - (np.cumsum(many) - many), many)
+    rank = names_of(all_, span)[places] if len(places) else np.zeros(0, np.int64)
+    held = np.repeat(owners, many)
+    array = np.argsort(rank, kind="stable")
+    starts = np.flatnonzero(np.diff(rank[array], prepend=-1))
+    least = np.empty(len(places), np.int64)
+    if len(places):
+        least[array] = np.repeat(np.minimum.reduceat(held[array], starts), np.diff([*starts, len(array)]))
+    return np.split(least, np.cumsum(many)[:-1])
+
+
+def repeats_of(group: list[tuple], span: int) -> list[tuple[int, int, int]]:
+    """(row, first word, end) of the words to remove around the occurrences (anchor, doc, first word, words) of whole groups."""
+    held: dict[tuple, list[int]] = {}
+    for i, (anchor, _, _, part) in enumerate(group):
+        held.setdefault((anchor, part), []).append(i)
+    several = {}
+    for anchor, _ in held:
+        several[anchor] = several.get(anchor, 0) + 1
+    docs = [LAST if g[1] is None else g[1] for g in group]
+    out, compared = [], []
+    for (anchor, part), rows in held.items():
+        owner = min(docs[i] for i in rows)
+        if several[anchor] > 1:
+            compared.append((rows, owner, words(part)))
+        if len(rows) > 1:
+            n = len(words(part))
+            out += [(i, group[i][2], group[i][2] + n) for i in rows if docs[i] > owner] if n >= span else []
+    if compared:
+        for (rows, owner, _), least in zip(compared, node_owners([c[2] for c in compared], np.array([c[1] for c in compared], np.int64), span)):
+            starts = np.flatnonzero(least < owner)
+            if len(starts):
+                cut = np.flatnonzero(np.diff(starts) > 1)
+                runs = list(zip(starts[np.append(0, cut + 1)].tolist(), starts[np.append(cut, len(starts) - 1)].tolist()))
+                out += [(i, group[i][2] + a, group[i][2] + b + span) for i in rows if docs[i] == owner for a, b in runs]
     return out
 
 
-SPANS = "doc_id long, th long, first int, end int"
+SPANS = "doc_id long, th long, spans array<struct<first: int, end: int>>"
 
 
 def _spans(rows: list[tuple]) -> pa.RecordBatch:
-    held = list(zip(*rows)) or [()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], ["doc_id", "th", "first", "end"])
+    """A row for each document of ``rows`` (doc_id, th, first, end)."""
+    held: dict[tuple, list] = {}
+    for doc, th, first, end in rows:
+        held.setdefault((doc, th), []).append((first, end))
+    sizes = [len(x) for x in held.values()]
+    flat = [y for x in held.values() for y in x]
+    return _span_rows(pa.array([k[0] for k in held], pa.int64()), pa.array([k[1] for k in held], pa.int64()), np.cumsum([0, *sizes]), [x[0] for x in flat], [x[1] for x in flat])
+
+
+def _span_rows(docs: pa.Array, ths: pa.Array, offsets: np.ndarray, first, end) -> pa.RecordBatch:
+    inner = pa.StructArray.from_arrays([pa.array(first, pa.int32()), pa.array(end, pa.int32())], ["first", "end"])
+    return pa.RecordBatch.from_arrays([docs, ths, pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), inner)], ["doc_id", "th", "spans"])
 
 
-def small_groups(occ: DataFrame, span: int, gram: int) -> DataFrame:
-    """Spans to remove, from a subtree per anchor; a task meets the rows of an anchor one after the other."""
+def small_groups(occ: DataFrame, span: int) -> DataFrame:
+    """Spans to remove, from a suffix array per anchor; a task meets the rows of an anchor one after the other."""
 
     def run(batches):
-        out: list[tuple] = []
-        key, group, ths = None, [], []
+        group: list[tuple] = []
+        ths: list[int] = []
 
         def close():
-            if len(group) > 1:
-                for i, first, end in repeats_of(group, span, gram):
-                    out.append((group[i][0], ths[i], first, end))
+            out = _spans([(group[i][1], ths[i], first, end) for i, first, end in repeats_of(group, span)])
+            group.clear()
+            ths.clear()
+            return out
 
-        for b in batches:
+        for b in slices(batches, 2048):
             for anchor, doc, th, at, left, part in zip(*(c.to_pylist() for c in b.columns)):
-                if anchor != key:
-                    close()
-                    key, group, ths = anchor, [], []
-                group.append((doc, at, left, part))
+                if len(group) >= BATCH and group[-1][0] != anchor:
+                    yield close()
+                group.append((anchor, doc, at - left, part))
                 ths.append(th)
-            if len(out) > 20_000:
-                yield _spans(out)
-                out.clear()
-        close()
-        yield _spans(out)
+        yield close()
 
     return occ.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, SPANS)
 
 
-def large_groups(occ: DataFrame, span: int) -> DataFrame:
-    """The same for anchors of many occurrences: a row per window, with the whole window as its prefix."""
+def windows_of(b: pa.RecordBatch, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a batch of occurrences: two hashes of each window around an anchor, its row, and its first word in the document."""
+    parts = b.column(5).to_pylist()
+    h, begin, _ = shingles.word_hashes(b"\n".join(parts), False)
+    ends = np.cumsum([len(x) + 1 for x in parts])
+    row = np.searchsorted(ends, begin, side="right")
+    places = np.flatnonzero(row[: max(0, len(row) - span + 1)] == row[span - 1 :]) if len(row) >= span else np.zeros(0, np.int64)
+    row_of = row[places]
+    within = places - np.searchsorted(row, np.arange(len(parts)))[row_of]
+    start = b.column(3).to_numpy().astype(np.int64) - b.column(4).to_numpy()
+    w1, w2 = (shingles.runs(h, span, odd)[places].view(np.int64) for odd in (shingles.ODD, OTHER))
+    return w1, w2, row_of, start[row_of] + within
 
-    def run(batches):
-        for b in batches:
-            rows: list[tuple] = []
-            for _, doc, th, at, left, part in zip(*(c.to_pylist() for c in b.columns)):
-                w = words(part)
-                for s in range(min(left, len(w) - span) + 1):
-                    x = hashlib.blake2b(b" ".join(w[s : s + span]), digest_size=16).digest()
-                    rows.append((x, doc, th, at - left + s))
-            held = list(zip(*rows)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(held, (pa.binary(), pa.int64(), pa.int64(), pa.int32()))], ["window", "doc_id", "th", "first"])
 
-    rows = occ.mapInArrow(run, "window binary, doc_id long, th long, first int")
-    owner = rows.groupBy("window").agg(F.min("doc_id").alias("owner"))
-    return rows.join(owner, "window").where("owner < coalesce(doc_id, owner + 1)").select("doc_id", "th", "first", (F.col("first") + span).alias("end"))
+class Owners:
+    """The smallest documents of some windows, by binary search."""
+
+    def __init__(self, rows: pa.Table):
+        w1, w2, least = (rows[c].to_numpy() for c in ("w1", "w2", "least"))
+        order = np.lexsort((w2, w1))
+        self.w1, self.w2, self.least = w1[order], w2[order], least[order]
+
+    def find(self, w1: np.ndarray, w2: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which windows are among them, and their owners. Of windows that agree on w1 alone only the first is found."""
+        if not len(self.w1):
+            return np.zeros(len(w1), bool), np.zeros(len(w1), np.int64)
+        at = np.minimum(np.searchsorted(self.w1, w1), len(self.w1) - 1)
+        return (self.w1[at] == w1) & (self.w2[at] == w2), self.least[at]
+
+
+def large_groups(occ: DataFrame, span: int) -> DataFrame:
+    """The same for anchors of many occurrences: a group per window, with the whole window as its prefix.
+
+    A window's rows meet in a minimum that is combined before the shuffle. The owners of hot windows, at most HOT_WINDOWS
+    by their definition, are broadcast back to the rows; of the other rows those whose window a Bloom filter calls
+    repeated, each window a small part of all rows, are joined.
+    """
+    spark = occ.sparkSession
+
+    def windows(batches):
+        for b in slices(batches, 2048):
+            w1, w2, row, _ = windows_of(b, span)
+            yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), b.column(1).take(pa.array(row))], ["w1", "w2", "doc_id"])
+
+    per = occ.mapInArrow(windows, "w1 long, w2 long, doc_id long").groupBy("w1", "w2").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    per = settle(per.where("n > 1 AND least IS NOT NULL"), "windows")
+    total = per.agg(F.sum("n")).first()[0] or 0
+    hot, rest = (F.col("n") > total // HOT_WINDOWS), per.where(F.col("n") <= total // HOT_WINDOWS)
+    owners = spark.sparkContext.broadcast(Owners(per.where(hot).select("w1", "w2", "least").toArrow()))
+    known = spark.sparkContext.broadcast(bloom.repeated(rest.select(F.col("w1").alias("h"), F.lit(True).alias("twice")), rest.count()))
+
+    def look(batches):
+        for b in slices(batches, 2048):
+            w1, w2, row, first = windows_of(b, span)
+            docs = b.column(1).fill_null(LAST).to_numpy()[row]
+            found, owner = owners.value.find(w1, w2)
+            gone = np.flatnonzero(found & (owner < docs))
+            # what touches in a document is one repeat
+            th = b.column(2).to_numpy()[row]
+            gone = gone[np.lexsort((first[gone], th[gone], docs[gone]))]
+            other = (np.diff(docs[gone]) != 0) | (np.diff(th[gone]) != 0)
+            cut = np.flatnonzero(other | (np.diff(first[gone]) > span))
+            a, z = (gone[x] for x in (np.append(0, cut + 1), np.append(cut, len(gone) - 1))) if len(gone) else (gone, gone)
+            new = np.append(True, (np.diff(docs[a]) != 0) | (np.diff(th[a]) != 0)) if len(a) else np.zeros(0, bool)
+            at = pa.array(row[a[new]])
+            out = _span_rows(b.column(1).take(at), b.column(2).take(at), np.append(np.flatnonzero(new), len(a)), first[a], first[z] + span)
+            none = pa.nulls(len(at), pa.int64())
+            yield pa.RecordBatch.from_arrays([none, none, *out.columns], ["w1", "w2", *out.schema.names])
+            maybe = np.flatnonzero(~found)
+            maybe = maybe[known.value.maybe(w1[maybe])]
+            at = pa.array(row[maybe])
+            out = _span_rows(b.column(1).take(at), b.column(2).take(at), np.arange(len(maybe) + 1), first[maybe], first[maybe] + span)
+            yield pa.RecordBatch.from_arrays([pa.array(w1[maybe]), pa.array(w2[maybe]), *out.columns], ["w1", "w2", *out.schema.names])
+
+    rows = settle(occ.mapInArrow(look, f"w1 long, w2 long, {SPANS}"), "window-rows")
+    joined = rows.where("w1 IS NOT NULL").join(rest.select("w1", "w2", "least"), ["w1", "w2"]).where("doc_id IS NULL OR least < doc_id")
+    return rows.where("w1 IS NULL").select("doc_id", "th", "spans").unionByName(joined.select("doc_id", "th", "spans"))
 
 
 def spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:
@@ -219,16 +307,26 @@ def spans(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROU
 
     Documents without such runs have no row. See ``remove`` for nulls and repeated rows.
     """
+    spark = docs.sparkSession
     keys = settle(anchor_keys(docs, span, gram), "anchors")
-    known = docs.sparkSession.sparkContext.broadcast(bloom.repeated(keys.select("h", F.lit(False).alias("twice")), keys.count()))
+    known = spark.sparkContext.broadcast(bloom.repeated(keys.select("h", F.lit(False).alias("twice")), keys.count()))
     occ = settle(occurrences(docs, known, span, gram), "occurrences")
-    hot = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > group).select("anchor")
-    if hot.isEmpty():
-        found = small_groups(occ, span, gram)
+    per = occ.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"))
+    hot = per.where(F.col("n") > max(group, occ.count() // HOT)).select("anchor").toArrow()["anchor"].to_numpy()
+    if not len(hot):
+        found = small_groups(occ, span)
     else:
-        hot = settle(hot, "hot-anchors")
-        found = small_groups(occ.join(hot, "anchor", "left_anti"), span, gram).unionAll(large_groups(occ.join(hot, "anchor", "left_semi"), span))
-    return found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "end")).alias("spans"))
+        anchors_ = spark.sparkContext.broadcast(np.sort(hot))
+
+        def part(of_hot):
+            def run(batches):
+                for b in batches:
+                    yield b.filter(pa.array(np.isin(b.column(0).to_numpy(), anchors_.value) == of_hot))
+
+            return occ.mapInArrow(run, occ.schema)
+
+        found = small_groups(part(False), span).unionAll(large_groups(settle(part(True), "hot-occurrences"), span))
+    return found.groupBy("doc_id", "th").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
 
 def remove(docs: DataFrame, span: int = SPAN, gram: int = GRAM, group: int = GROUP) -> DataFrame:

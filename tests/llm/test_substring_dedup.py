@@ -61,6 +61,28 @@ def test_anchors_are_those_of_every_window():
     assert not len(substring_dedup.anchors(g[: size - 1]))
 
 
+def test_names_are_equal_for_equal_windows():
+    rng = np.random.default_rng(7)
+    for span in (1, 2, 3, 7, 8, 9, 50):
+        w = rng.integers(0, 2, 300 if span < 50 else 51).repeat(1 if span < 50 else 8)
+        names = substring_dedup.names_of(w, span)
+        windows = [tuple(w[i : i + span]) for i in range(len(w) - span + 1)]
+        assert len(names) == len(windows)
+        assert len(set(zip(names.tolist(), windows))) == len(set(names.tolist())) == len(set(windows))
+    assert not len(substring_dedup.names_of(np.arange(5), 9))
+
+
+def test_hot_windows_are_looked_up_and_others_joined(spark, monkeypatch):
+    rng = random.Random(10)
+    shared = " ".join(f"s{i}" for i in range(70))
+    rows = [(i, " ".join([*(f"u{i}x{k}" for k in range(rng.randint(0, 9))), shared, f"v{i}"])) for i in range(30)]
+    rows += [(50 + i, " \n".join(f"t{i // 2}y{k}" for k in range(55))) for i in range(6)]
+    rows += [(60 + i, "\t ".join(f"z{k}" for k in range(51))) for i in range(4)]
+    for hot in (1, 20, 1 << 40):
+        monkeypatch.setattr(substring_dedup, "HOT_WINDOWS", hot)
+        check(spark, rows, group=1)
+
+
 def test_runs_depend_on_order():
     h = np.array([1, 2, 3, 1, 2], np.uint64)
     r = shingles.runs(h, 2)
