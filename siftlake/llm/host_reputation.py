@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import settle
+
 #: Rules (host, path, verdict).
 RULES = (
     ("com", "/", "allow"),
@@ -18,8 +20,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Suffixes of two labels under which names are registered.
-TWO_LABEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "com.au", "co.jp", "co.nz", "com.br", "co.in")
+#: Suffixes of two labels under which names are registered: these labels below a country's two letters.
+TWO_LABEL_SUFFIX = r"^(ac|co|com|edu|go|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$"
 MIN_GOOD = 0.5
 Z = 1.645
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -46,7 +48,7 @@ def domain_of(host: Column) -> Column:
     """The registered domain: two labels, or three under a suffix of two; without port or user."""
     bare = F.regexp_replace(host, r"^.*@|:\d*$", "")
     two = F.substring_index(bare, ".", -2)
-    return F.when(two.isin(*TWO_LABEL_SUFFIXES), F.substring_index(bare, ".", -3)).otherwise(two)
+    return F.when(two.rlike(TWO_LABEL_SUFFIX), F.substring_index(bare, ".", -3)).otherwise(two)
 
 
 def suffix_of(domain: Column) -> Column:
@@ -67,10 +69,11 @@ def strength(groups: DataFrame) -> DataFrame:
 def reputation(outcomes: DataFrame, z: float = Z) -> DataFrame:
     """host, n, k, mean, upper of ``outcomes`` (host string, good boolean): the posterior share of good pages.
 
-    Rows with a null or empty host or a null outcome take no part. The driver receives two numbers per level.
+    Rows with a null or empty host or a null outcome take no part. The pages are read once, and the counts per host are
+    written to the shared folder. The driver receives two numbers per level. No outcomes give an empty result.
     """
     hosts = outcomes.where("host != '' AND good IS NOT NULL").groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("good").cast("long")).alias("k"))
-    hosts = hosts.withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
+    hosts = settle(hosts, "host-counts").withColumn("domain", domain_of(F.col("host"))).withColumn("suffix", suffix_of(F.col("domain")))
     level = {c: hosts.groupBy(*c).agg(F.sum("n").alias("n"), F.sum("k").alias("k")) for c in (("suffix",), ("domain", "suffix"))}
     (ks, mean), (kd, _), (kh, _) = (strength(x).first() for x in (level["suffix",], level["domain", "suffix"], hosts))
     suffixes = level["suffix",].select("suffix", ((F.col("k") + ks * mean) / (F.col("n") + ks)).alias("m_suffix"))
@@ -85,7 +88,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES, min_good: float =
     """page_id, host, path, rule, verdict of every row of ``pages`` (page_id, url); ``outcomes``: page_id, good.
 
     A null url, or one without ``://``, has an empty host and path. Pages that no rule fits are blocked if their host's
-    upper bound is below ``min_good``; a host without labelled pages is allowed. Repeated rows are judged alike.
+    upper bound is below ``min_good``; a host without labelled pages is allowed. Rows with a null id are judged, but
+    have no outcome. Repeated rows are judged alike. Other columns are ignored; an empty table gives an empty result.
     """
     seen = pages.select("page_id", host_of(F.col("url").cast("string")).alias("host"), path_of(F.col("url").cast("string")).alias("path"))
     labelled = seen.select("page_id", "host").join(outcomes.select("page_id", "good"), "page_id")
@@ -110,7 +114,7 @@ h0 AS (
   SELECT host, count(*)::DOUBLE AS n, sum(good)::DOUBLE AS k, regexp_replace(host, '^.*@|:[0-9]*$', '', 'g') AS bare
   FROM p JOIN y USING (page_id) WHERE host <> '' AND good IS NOT NULL GROUP BY host),
 h1 AS (
-  SELECT *, CASE WHEN array_to_string(string_split(bare, '.')[-2:], '.') IN ('co.uk', 'org.uk', 'ac.uk', 'com.au', 'co.jp', 'co.nz', 'com.br', 'co.in')
+  SELECT *, CASE WHEN regexp_matches(array_to_string(string_split(bare, '.')[-2:], '.'), '^(ac|co|com|edu|go|gob|gov|ltd|mil|ne|net|nom|or|org|plc|sch)\.[a-z]{2}$')
                  THEN array_to_string(string_split(bare, '.')[-3:], '.') ELSE array_to_string(string_split(bare, '.')[-2:], '.') END AS domain FROM h0),
 h AS (SELECT *, CASE WHEN contains(domain, '.') THEN regexp_replace(domain, '^[^.]*\.', '') ELSE domain END AS suffix FROM h1),
 s AS (SELECT suffix, sum(n) AS n, sum(k) AS k FROM h GROUP BY 1),

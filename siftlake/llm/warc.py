@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh_path, settle
+from .common import fresh_path, qualified, settle
 
 #: Magic of the skippable frame that holds the dictionary, and of any Zstandard frame.
 DICT_MAGIC = 0x184D2A5D
@@ -150,10 +150,14 @@ def dictionary(samples: list[bytes], size: int = DICT_BYTES) -> bytes:
 
 
 def write_archives(records: DataFrame, path: str, known: bytes, roll: int = ROLL_BYTES) -> DataFrame:
-    """Write page_id, url, payload, digest, refers_to to archives below ``path``; gives name, records, bytes per archive."""
+    """Write page_id, url, payload, digest, refers_to to archives below ``path``; gives name, records, bytes per archive.
+
+    The workers write to the file system that Spark reads ``path`` from, also where it has no scheme.
+    """
+    path = qualified(records.sparkSession, path)
 
     def run(batches):
-        fs, root = pafs.FileSystem.from_uri(path if "://" in path or path.startswith("file:") else f"file://{path}")
+        fs, root = pafs.FileSystem.from_uri(path)
         fs.create_dir(root, recursive=True)
         made: list[tuple] = []
         task, held, size, n = TaskContext.get(), [], 0, 0
@@ -218,15 +222,15 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def payloads(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload (html in UTF-8, null: empty), digest, payload_bytes."""
+    """page_id, url, payload (html in UTF-8, null: empty), digest (SHA-1), payload_bytes, same (SHA-256, by which payloads are equal)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
 
     def run(batches):
         for b in batches:
             html = b.column(2).to_pylist()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest_of(x) for x in html], pa.string()), pa.array([len(x) for x in html], pa.int64())], ["page_id", "url", "payload", "digest", "payload_bytes"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([digest_of(x) for x in html], pa.string()), pa.array([len(x) for x in html], pa.int64()), pa.array([hashlib.sha256(x).digest() for x in html], pa.binary())], ["page_id", "url", "payload", "digest", "payload_bytes", "same"])
 
-    return rows.mapInArrow(run, "page_id long, url string, payload binary, digest string, payload_bytes long")
+    return rows.mapInArrow(run, "page_id long, url string, payload binary, digest string, payload_bytes long, same binary")
 
 
 def archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> DataFrame:
@@ -234,18 +238,19 @@ def archive(pages: DataFrame, path: str, min_bytes: int = MIN_BYTES) -> DataFram
 
     Of records with equal payloads of ``min_bytes`` or more, the one with the largest page_id is the response and the
     others revisit it. A null id counts as smaller than any other; among null ids alone, and among rows that repeat the
-    largest id, all are responses. Only ids and digests meet in a shuffle by digest, combined beforehand; pages are
+    largest id, all are responses. Null html is empty; an empty table gives no archive. Other columns are ignored. Only
+    ids and digests meet in a shuffle by digest, combined beforehand; pages are
     shuffled by their own id, and only if the revisits are too many to broadcast within Spark's limit.
     """
     spark = pages.sparkSession
     rows = payloads(pages)
-    seen = settle(rows.select("page_id", "digest", "payload_bytes"), "warc-digests")
-    largest = seen.where(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
-    revisits = seen.where(F.col("payload_bytes") >= min_bytes).join(largest, "digest").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
-    revisits = revisits.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "refers_to").dropDuplicates(["_id", "_digest"])
+    seen = settle(rows.select("page_id", "same", "payload_bytes"), "warc-digests")
+    largest = seen.where(F.col("payload_bytes") >= min_bytes).groupBy("same").agg(F.max("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1 AND refers_to IS NOT NULL")
+    revisits = seen.where(F.col("payload_bytes") >= min_bytes).join(largest, "same").where(~F.col("page_id").eqNullSafe(F.col("refers_to")))
+    revisits = revisits.select(F.col("page_id").alias("_id"), F.col("same").alias("_same"), "refers_to").dropDuplicates(["_id", "_same"])
     some = max(1, seen.count() // DICT_PAGES)
     sample = [bytes(r[0]) for r in rows.where(F.pmod(F.xxhash64("page_id"), F.lit(some)) == 0).select("payload").limit(2 * DICT_PAGES).collect()]
-    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left")
+    joined = rows.join(revisits, F.col("page_id").eqNullSafe(F.col("_id")) & (F.col("same") == F.col("_same")), "left")
     return write_archives(joined, path, dictionary(sorted(x[:16384] for x in sample)))
 
 

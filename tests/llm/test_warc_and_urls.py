@@ -4,6 +4,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from siftlake.llm import host_reputation as hr
 from siftlake.llm import warc
 from siftlake.llm.common import fresh_path
@@ -110,3 +112,29 @@ def test_domains(spark):
 
 def test_base32_has_no_padding():
     assert re.fullmatch("[A-Z2-7]{32}", warc.digest_of(b""))
+
+
+def test_repeated_rows_many_archives_and_paths_without_scheme(spark, tmp_path):
+    rows = [(i // 2, f"http://h/{i}", f"<p>{i % 7}</p>" * 50) for i in range(200)] + [(None, None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    joined = warc.payloads(pages).withColumn("refers_to", F.lit(None).cast("long"))
+    made = warc.write_archives(joined, str(tmp_path / "a"), b"", roll=2000).collect()
+    assert len(made) > 4 and sum(r["records"] for r in made) == len(rows) and len({r["name"] for r in made}) == len(made)
+    back = warc.read_archives(spark, str(tmp_path / "a")).collect()
+    assert sorted((r["page_id"] is None, r["page_id"] or 0, r["payload_bytes"]) for r in back) == sorted((d is None, d or 0, len(h or "")) for d, _, h in rows)
+    warc.archive(pages, str(tmp_path / "b"))
+    got = warc.read_archives(spark, str(tmp_path / "b")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        if r["record_type"] == "revisit":
+            assert r["refers_to"] > r["page_id"] and r["payload"] is None
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    pages = spark.createDataFrame([(1, "http://a.co.uk/x"), (1, "http://a.co.uk/x"), (2, "http://a.co.uk/y"), (None, "http://a.co.uk/x")], "page_id long, url string")
+    outcomes = spark.createDataFrame([(1, False), (2, False)], "page_id long, good boolean")
+    got = [(r["page_id"], r["host"], r["verdict"]) for r in hr.judge(pages, outcomes).collect()]
+    assert len(got) == 4 and len({(h, v) for _, h, v in got}) == 1
+    assert hr.judge(pages.limit(0), outcomes).collect() == []
+    domains = spark.createDataFrame([("x.a.co.uk",), ("a.net.es",), ("b.a.com",), ("com",)], "h string").select(hr.domain_of(F.col("h"))).collect()
+    assert [r[0] for r in domains] == ["a.co.uk", "a.net.es", "a.com", "com"]
