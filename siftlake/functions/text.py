@@ -88,7 +88,8 @@ def platform_of(text: Column) -> Column:
 
 def platform_of_devices(devices: Column) -> Column:
     low = F.transform(devices, lambda d: F.lower(F.trim(d)))
-    droid, apple = (F.exists(low, lambda d, w=w: d.isin(*w)) for w in (lex.ANDROID_WORDS, lex.IOS_WORDS))
+    has = lambda words: F.exists(low, lambda d: d.isin(*words))
+    droid, apple = has(lex.ANDROID_WORDS), has(lex.IOS_WORDS)
     return F.when(yes(droid) & yes(apple), "both").when(yes(droid), "android").when(yes(apple), "ios").otherwise("unknown")
 
 

@@ -136,3 +136,27 @@ def account_export(uploads: DataFrame, clusters: DataFrame, key: str = "upload_i
     fields = [c for c in clusters.columns if c != key]
     lists = clusters.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("clusters"))
     return uploads.join(lists, key, "left").withColumn("clusters", F.coalesce("clusters", F.array().cast(lists.schema["clusters"].dataType)))
+
+
+def load_metrics(row: DataFrame, path: str) -> None:
+    """Replace the metrics of one upload and pipeline version (columns upload_id, pipeline_version and figures)."""
+    load_table(row, path, ("upload_id", "pipeline_version"))
+
+
+def append_chunks(df: DataFrame, path: str, order: str, chunk: int = 500) -> DataFrame:
+    """Append the rows in files of at most ``chunk`` of them; gives the rows as written."""
+    df.sort(order).write.mode("append").option("maxRecordsPerFile", chunk).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def write_report(report: DataFrame, path: str, title: str) -> str:
+    """A report of few rows as JSON lines below ``path``/json and as Markdown below ``path``/markdown; gives the Markdown's path.
+
+    Each row becomes a list of its columns; nested values are written as JSON.
+    """
+    report.write.mode("overwrite").json(f"{path}/json")
+    flat_types = ("string", "int", "bigint", "double", "float", "boolean", "date", "timestamp", "timestamp_ntz")
+    value = lambda c, t: F.coalesce(F.col(f"`{c}`").cast("string") if t in flat_types or t.startswith("decimal") else F.to_json(F.col(f"`{c}`")), F.lit("-"))
+    lines = [F.concat(F.lit(f"- **{c}:** "), value(c, t)) for c, t in report.dtypes]
+    report.select(F.concat_ws("\n", F.lit(f"## {title}"), *lines, F.lit("")).alias("value")).write.mode("overwrite").text(f"{path}/markdown")
+    return f"{path}/markdown"
