@@ -41,7 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 #: Rows in a batch that goes to a Python worker, at most; whole texts are wide, and both sides hold a batch in memory.
-BATCH_ROWS = 2048
+BATCH_ROWS = 1024
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -117,7 +117,7 @@ def trim() -> None:
         return
 
 
-def slices(batches, rows: int = 512):
+def slices(batches, rows: int = 256):
     """The batches cut into small ones, so that a worker holds what it makes of few texts at a time."""
     if KEPT:
         KEPT.clear()

@@ -137,7 +137,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: Fra
     left = f"least(block * {block} + {block}, start + size, _words - pass * source_size) - greatest(block * {block}, start)"
     met = pieces.join(taken, ["source_no", "block"]).withColumn("got", F.expr(left)).where("got > 0")
     got = met.groupBy("_uid").agg(F.sum("got").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
-    about = rows.select("_uid", "source_size", "target").join(got, "_uid", "left")
+    about = settle(rows.select("_uid", "source_size", "target").join(got, "_uid", "left"), "mix-about")
     return held.join(about, "_uid").select("doc_id", "source", *(["row"] if keep else []), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("first_slot", "last_slot")))
 
 
@@ -160,7 +160,8 @@ def mixed_rows(docs: DataFrame) -> DataFrame:
     whole, rest, slot = (spare(docs, c) for c in ("whole", "rest", "slot"))
     rows = mix(docs, keep=tuple(docs.columns)).where("taken > 0")
     rows = rows.select("row.*", F.col("first_slot").alias(slot), F.expr("taken div size").alias(whole), F.expr("taken % size").alias(rest))
-    rows = rows.repartitionByRange(max(1, shuffle_parts(docs.sparkSession)), slot).sortWithinPartitions(slot, "doc_id").drop(slot)
+    parts, last = max(1, shuffle_parts(docs.sparkSession)), rows.agg(F.max(slot)).first()[0] or 0
+    rows = rows.repartitionById(parts, F.expr(f"cast({slot} * {parts} div {last + 1} AS int)")).sortWithinPartitions(slot, "doc_id").drop(slot)
     at = docs.columns.index("text")
 
     def run(batches):

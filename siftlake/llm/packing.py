@@ -31,7 +31,7 @@ END_ID = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks; only words not met before go through it.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CACHE = 400_000
+CACHE = 150_000
 SALT_ROWS = 8192
 
 
@@ -105,7 +105,7 @@ def pieces(docs: DataFrame, window: int = WINDOW, path: str = TOKENIZER, ranks:
                 n = len(raw) // 4
                 for at in range(0, n, window):
                     part = raw[4 * at : 4 * (at + window)]
-                    out.append((doc, at, len(part) // 4, zlib.crc32(part), n, part))
+                    out.append((doc, at, len(part) // 4, zlib.crc32(part), n, part if ids else None))
             held = list(zip(*out)) or [()] * 6
             arrays = [pa.array(held[i], pa.int64()) for i in range(5)] + ([pa.array(held[5], pa.binary())] if ids else [])
             yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "ids"][: len(arrays)])

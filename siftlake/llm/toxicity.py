@@ -29,7 +29,7 @@ MIN_DOCS = 5
 MAX_TERMS = 1 << 18
 BUCKETS = 1 << 30
 FACTORS = 4
-CACHE = 200_000
+CACHE = 50_000
 THRESHOLD = 0.3
 
 
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
                 for t in {t for w in set(lower_words(text)) for t in terms(w)}:
                     seen[t] += step
                 seen[-1] += step
-                if len(seen) > 500_000:
+                if len(seen) > 150_000:
                     yield out()
         yield out()
 
