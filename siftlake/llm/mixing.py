@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, WORD, documents, settle, shuffle_parts, slices, spare, utf8
+from .common import SPACE, WORD, documents, settle, slices, spare, utf8
 
 WEIGHTS = (3, 1, 2)
 SHARE = Fraction(3, 2)
@@ -152,16 +152,16 @@ def first_words(text: bytes, n: int) -> bytes:
 def mixed_rows(docs: DataFrame) -> DataFrame:
     """The rows of which the mix takes words, with the columns of ``docs``: the text holds the words taken, n_chars their length.
 
-    A text taken whole stays as it is; whole repeats and the last, cut one follow on a new line. Rows are written in the
-    order of the slots in which the schedule first meets them, so that any run of them holds the sources in proportion.
+    A text taken whole stays as it is; whole repeats and the last, cut one follow on a new line. Each partition,
+    a sample of all rows by a hash, is written in the order of the slots in which the schedule first meets its rows, so
+    that any run of a file holds the sources in proportion.
     Null and empty texts go, as nothing is taken of them; null ids and repeated rows count as documents of their own.
     Columns of any name may come along; an empty table gives an empty result.
     """
     whole, rest, slot = (spare(docs, c) for c in ("whole", "rest", "slot"))
     rows = mix(docs, keep=tuple(docs.columns)).where("taken > 0")
     rows = rows.select("row.*", F.col("first_slot").alias(slot), F.expr("taken div size").alias(whole), F.expr("taken % size").alias(rest))
-    parts, last = max(1, shuffle_parts(docs.sparkSession)), rows.agg(F.max(slot)).first()[0] or 0
-    rows = rows.repartitionById(parts, F.expr(f"cast({slot} * {parts} div {last + 1} AS int)")).sortWithinPartitions(slot, "doc_id").drop(slot)
+    rows = rows.sortWithinPartitions(slot, "doc_id").drop(slot)
     at = docs.columns.index("text")
 
     def run(batches):

@@ -29,7 +29,7 @@ MIN_DOCS = 5
 MAX_TERMS = 1 << 18
 BUCKETS = 1 << 30
 FACTORS = 4
-CACHE = 50_000
+CACHE = 100_000
 THRESHOLD = 0.3
 
 
