@@ -76,10 +76,10 @@ def test_report_files(spark, tmp_path):
     assert rows == [{"n": 3, "ids": [1, 2]}]
 
 
-@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="test tables")
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="test tables")
 def test_bursts_of_the_test_tables_overlap_by_under_half(spark):
     seen: dict[int, set] = {}
-    for r in reports.u7(spark, "/root/testdata/sf0.001").collect():
+    for r in reports.u7(spark, "/root/testdata/sf0.01").collect():
         ids = set(r["review_ids"])
         assert len(ids) >= 3 and len(ids & seen.get(r["upload_id"], set())) < 0.5 * len(ids)
         seen.setdefault(r["upload_id"], set()).update(ids)
