@@ -31,7 +31,7 @@ END_ID = 0
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 #: The same vocabulary as ranks; only words not met before go through it.
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
-CACHE = 150_000
+CACHE = 300_000
 SALT_ROWS = 8192
 
 
