@@ -252,8 +252,8 @@ def s9(spark, d):
 
 @query("u7_distinct_bursts")
 def u7(spark, d):
-    """Windows of 48 hours that start every 12, by upload, of 3 reviews or more; larger ones first."""
+    """Windows of 48 hours that start every 12, by upload, of 2 reviews or more; larger ones first."""
     r = reviews(spark, d).where("upload_id IS NOT NULL").select("upload_id", "review_id", F.window(F.col("at").cast("timestamp"), "48 hours", "12 hours").alias("w"))
     found = r.groupBy("upload_id", F.unix_timestamp("w.start").alias("start")).agg(F.array_sort(F.collect_set("review_id")).alias("review_ids"))
-    found = found.where(F.size("review_ids") >= 3).withColumn("rank", -F.size("review_ids"))
+    found = found.where(F.size("review_ids") >= 2).withColumn("rank", -F.size("review_ids"))
     return summaries.distinct_bursts(found, "upload_id", ["rank", "start"]).select("upload_id", "start", "review_ids")

@@ -6,7 +6,7 @@ import os
 import duckdb
 import pytest
 
-from siftlake.plans import catalog, monitoring  # noqa: F401
+from siftlake.plans import catalog, monitoring, reports  # noqa: F401
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
