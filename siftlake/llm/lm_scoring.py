@@ -195,6 +195,18 @@ def fit(docs: DataFrame) -> tuple[Model, DataFrame, DataFrame]:
     return model, counts, numbered
 
 
+def gathered(batches, rows: int = 4096, size: int = 1 << 25):
+    """Batches of about ``rows`` rows, or ``size`` bytes: more documents fill a window's lanes better."""
+    held: list[pa.RecordBatch] = []
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= rows or sum(x.nbytes for x in held) >= size:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if sum(x.num_rows for x in held):
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def score(numbered: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row that was numbered.
 
@@ -206,7 +218,7 @@ def score(numbered: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
 
     def run(batches):
         net, end, base = known.value
-        for b in slices(batches, 2048):
+        for b in gathered(batches):
             ids = [np.frombuffer(x, np.int32) for x in b.column(3).to_pylist()]
             inside = [int((x < len(base) - 1).sum()) for x in ids]
             arrays = [*b.columns[:3], pa.array([len(x) for x in ids], pa.int64()), pa.array(inside, pa.int64()), pa.array([float(base[x].sum()) for x in ids]), pa.array(net.score(ids, end))]
