@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bloom, shingles
-from .common import documents, settle, slices, texts
+from .common import documents, settle, slices, spare, texts
 
 WORDS = 4
 #: Links have 100 * intersection >= PERCENT * union.
@@ -270,10 +270,24 @@ def first_rows(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns: of each component the document with the smallest id.
 
     Texts without words, null among them, are in no component and stay, as do rows with a null id. Rows that repeat an
-    id stay or go together. Columns of any name may come along; an empty table gives an empty result.
+    id stay or go together. Only rows whose id a Bloom filter takes for one that goes are shuffled. Columns of any name
+    may come along; an empty table gives an empty result.
     """
-    gone = near_groups(docs).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    gone = settle(near_groups(docs).where(~F.col("kept")).select("doc_id").distinct(), "gone")
+    ids = gone.select(F.xxhash64("doc_id").alias("h"), F.lit(True).alias("twice"))
+    known = docs.sparkSession.sparkContext.broadcast(bloom.repeated(ids, gone.count()))
+    hashed = docs.withColumn(spare(docs, "h"), F.xxhash64(F.col("doc_id").cast("long")))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+
+    def part(want):
+        def run(batches):
+            for b in batches:
+                maybe = known.value.maybe(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False))
+                yield b.filter(pa.array(maybe == want)).select(list(range(b.num_columns - 1)))
+
+        return hashed.mapInArrow(run, docs.schema).select(*kept)
+
+    return part(False).unionAll(part(True).join(gone, "doc_id", "left_anti").select(*kept))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

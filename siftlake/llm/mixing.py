@@ -138,6 +138,7 @@ def mix(docs: DataFrame, keep: tuple[str, ...] = (), weights=WEIGHTS, share: Fra
     met = pieces.join(taken, ["source_no", "block"]).withColumn("got", F.expr(left)).where("got > 0")
     got = met.groupBy("_uid").agg(F.sum("got").alias("taken"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"))
     about = settle(rows.select("_uid", "source_size", "target").join(got, "_uid", "left"), "mix-about")
+    about = about.hint("merge") if keep else about  # whole rows are dealt by a hash at any size, as mixed_rows has it
     return held.join(about, "_uid").select("doc_id", "source", *(["row"] if keep else []), "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), *(F.coalesce(c, F.lit(-1)).cast("long").alias(c) for c in ("first_slot", "last_slot")))
 
 

@@ -96,3 +96,26 @@ def test_queries_against_sql(spark, name):
     columns = sorted(df.columns)
     want = con.sql(f"SELECT {', '.join(columns)} FROM ({registry.ORACLE[name]})").fetchall()
     assert sorted(map(repr, map(tuple, df.select(*columns).collect()))) == sorted(map(repr, want))
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_that_stay_are_not_shuffled_by_near_dedup(spark):
+    """Only rows that may go meet the ids that go; at any size, so also where no table is broadcast."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{(i * 7 + k) % 997}" for k in range(30))) for i in range(300)] + [(1000 + i, "one two three four five") for i in range(20)], "doc_id long, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = corpus_pipeline.drop_near_copies(spark, docs, SF)
+        stay = [line for line in plan_of(out).split("\n") if line.startswith("   :")]
+        assert any("MapInArrow" in line for line in stay) and not any("Exchange" in line for line in stay)
+        got = sorted(r["doc_id"] for r in out.collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == sorted({c for _, c in brute.near_groups([tuple(r) for r in docs.collect()]).values()})
+
+
+def test_mixed_rows_are_dealt_by_a_hash_at_any_size(spark):
+    docs = spark.createDataFrame([(i, "a b c", f"s{i % 2}") for i in range(50)], "doc_id long, text string, source string")
+    assert "SortMergeJoin" in plan_of(mixing.mixed_rows(docs))
