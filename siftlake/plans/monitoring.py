@@ -309,8 +309,7 @@ def d9(spark, d):
 def v10(spark, d):
     """Offline text vectors: sublinear TF-IDF of words and word pairs, reduced to at most 384 dimensions, at length 1."""
     r = reviews(spark, d).select("review_id", F.col("content").alias("text"))
-    vectors = similarity.text_vectors(r.select("text"))
-    return r.join(vectors, "text").select("review_id", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+    return similarity.row_vectors(r, digits=6).select("review_id", "vector")
 
 
 @query("v11_cache_hits", f"{R}, h AS (SELECT sha256(content) AS k, review_id FROM reviews), c AS (SELECT DISTINCT k FROM h WHERE review_id % 2 = 0) SELECT count(*) AS asked, count(c.k) AS hits, round(count(c.k) / count(*), 9) AS hit_rate FROM h LEFT JOIN c USING (k)")

@@ -7,8 +7,9 @@ import time
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
-from siftlake.operators import quality, scoring, similarity
+from siftlake.operators import embedding, quality, scoring, similarity
 from siftlake.plans import catalog, monitoring  # noqa: F401
 from test_catalog import SF, pytestmark  # noqa: F401
 
@@ -108,3 +109,53 @@ def test_repeated_texts_of_many_rows_in_time(spark):
         want[i] += sum(t is not None and t != o and bool(mine) and len(mine & s) / len(mine | s) >= 0.9 for o, s in sets)
     assert got == dict(want) and got[20_003] == 2 and got[20_002] == 0 and got[100] == 1
     assert monitoring.monitoring.repeated_texts(df, df.limit(0), "id", "t").collect() == []
+
+
+def test_frequent_terms_are_counted_in_full(spark):
+    """A part lists its own most frequent terms only; the counts kept are those of all rows."""
+    rng = random.Random(7)
+    names = [f"w{i}" for i in range(40)] + [f"long_word_{i % 7}_{i}" for i in range(40)] + ["a", "éa", "Łódź"]
+    texts = [" ".join(rng.choice(names) for _ in range(rng.randrange(12))) for _ in range(300)] + ["", "x y", None, "Zz,zz ZZ"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    n, docs = Counter(), Counter()
+    for t in texts:
+        w = re.findall(r"\w\w+", (t or "").lower().translate(str.maketrans("éó", "eo")))
+        terms = w + [" ".join(p) for p in zip(w, w[1:])]
+        n.update(terms)
+        docs.update(set(terms))
+    words = df.where("text IS NOT NULL").select(F.array_join(similarity.words_of(F.col("text")), " ").cast("binary"))
+    for most in (50, 10_000):
+        want = sorted(n, key=lambda t: (-n[t], t.encode()))[:most]
+        assert embedding.frequent_terms(words, most) == [(t.encode(), docs[t]) for t in want]
+
+
+def test_words_that_share_a_hash_are_told_apart():
+    """With the factor 0 a long word's hash is its end."""
+    import numpy as np
+
+    words = [b"abcdefgh_end", b"hgfedcba_end", b"_end", b"abcdefgh_end", b"ab"]
+    blob = np.frombuffer(b" ".join([*words, b" " * 8]), np.uint8)
+    size = np.array([len(w) for w in words])
+    number, held = embedding._numbered(blob, np.cumsum(size + 1) - size - 1, size, (0, 0x9E3779B97F4A7C15))
+    assert [held[i] for i in number] == words and len(held) == 5
+    with pytest.raises(ArithmeticError):
+        embedding._numbered(blob, np.cumsum(size + 1) - size - 1, size, (0,))
+
+
+def test_text_vectors_of_long_texts_in_time(spark):
+    """The thousand texts of sf0.01 took 72 s and more."""
+    start = time.monotonic()
+    rows = catalog.QUERIES["v10_tfidf_vectors"](spark, SF.replace("sf0.001", "sf0.01")).collect()
+    assert time.monotonic() - start < 50
+    assert sorted(r[0] for r in rows) == sorted(r[0] for r in spark.read.parquet(f"{SF.replace('sf0.001', 'sf0.01')}/documents.parquet").where("text IS NOT NULL").select("doc_id").collect())
+    assert {len(r[1]) for r in rows} == {384} and all(sum(x * x for x in r[1]) == pytest.approx(1, abs=1e-4) for r in rows)
+
+
+def test_row_vectors_of_equal_null_and_empty_texts(spark):
+    rows = [(1, "login fails on the phone"), (2, None), (3, ""), (4, "login fails on the phone"), (5, "dark mode wanted"), (5, "dark mode wanted")]
+    got = similarity.row_vectors(spark.createDataFrame(rows, "id long, text string")).collect()
+    assert sorted(r["id"] for r in got) == [1, 3, 4, 5, 5]
+    by = {r["id"]: r["vector"] for r in got}
+    assert by[1] == by[4] and not any(by[3]) and by[1] != by[5]
+    nothing = similarity.row_vectors(spark.createDataFrame([(1, ""), (2, "a b")], "id long, text string")).collect()
+    assert [r["vector"] for r in nothing] == [[0.0], [0.0]]
